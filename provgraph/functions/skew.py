@@ -24,24 +24,24 @@ def hot_keys(df: DataFrame, keys: list[str], weight: str | None = None) -> DataF
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, keys: list[str], spread: str, hot: DataFrame, how: str = "inner"
+    left: DataFrame, right: DataFrame, keys: list[str], spread: str, hot: DataFrame, how: str = "inner", salts: int = SALTS
 ) -> DataFrame:
-    """Equi-join of a skewed `left` with a `right` that has one row per key.
+    """Equi-join of a skewed `left` with a `right` that has few rows per key.
 
     Rows of hot keys get a salt from the hash of `spread` (deterministic, so a recomputed task
     gives the same rows); the few right rows of hot keys are repeated for each salt. `how` is
     'inner' or 'left'. Null keys match nothing and are spread by their hash.
     """
     flag = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
-    salt = F.pmod(F.xxhash64(F.col(spread)), F.lit(SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64(F.col(spread)), F.lit(salts)).cast("int")
     no_key = F.lit(False)
     for k in keys:
         no_key = no_key | F.col(k).isNull()
     lhs = left.join(flag, keys, "left").withColumn(
         "_salt", F.when(F.col("_hot") | no_key, salt).otherwise(F.lit(0))
     )
-    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
     rhs = right.join(flag, keys, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), salts).otherwise(F.array(F.lit(0))))
+        "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))
     )
     return lhs.drop("_hot").join(rhs.drop("_hot"), [*keys, "_salt"], how).drop("_salt")

@@ -45,7 +45,9 @@ def _timestamp(text: Column) -> Column:
     return F.when(text.rlike(rf"\A{_TIME}\z"), iso.try_cast("timestamp"))
 
 
-def typed_properties(props: DataFrame, objects: DataFrame, catalog: DataFrame) -> DataFrame:
+def typed_properties(
+    props: DataFrame, objects: DataFrame, catalog: DataFrame, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """The rows of `props` whose property is declared for the type of their object, read as the
     declared type.
 
@@ -55,9 +57,11 @@ def typed_properties(props: DataFrame, objects: DataFrame, catalog: DataFrame) -
     'empty' (null, JSON null, blank JSON string), 'unreadable' (no JSON, an array or object, or
     not of the type), 'ok'. An id with rows of several types counts as the smallest type name.
     Rows of unknown objects and undeclared properties don't come out. Repeated rows stay.
+    `carry`: columns of `objects` (one value per id) that come out too.
     """
-    types = objects.select(key(F.col("id")).alias("object_id"), "object_type").where(F.col("object_id").isNotNull())
-    types = types.groupBy("object_id").agg(F.min("object_type").alias("object_type"))
+    types = objects.select(key(F.col("id")).alias("object_id"), "object_type", *carry)
+    types = types.where(F.col("object_id").isNotNull()).groupBy("object_id")
+    types = types.agg(*(F.min(c).alias(c) for c in ("object_type", *carry)))
     declared = catalog.select(
         "object_type", name_key(F.col("property_name")).alias("_name"), F.col("property_name").alias("property"),
         F.upper("value_type").alias("_declared"), "is_multiple",
@@ -66,7 +70,6 @@ def typed_properties(props: DataFrame, objects: DataFrame, catalog: DataFrame) -
         "prop_row_id", key(F.col("object_id")).alias("object_id"), name_key(F.col("property_name")).alias("_name"),
         "ordinal", "value", "confidence", "source_system", "extracted_at", "verified_by",
     )
-    # Only names that are declared for some type can come out: drop the others before the shuffle.
     declared = broadcast_if_small(declared, CATALOG_ROWS)
     rows = salted_join(rows, types, ["object_id"], "prop_row_id", hot_keys(rows, ["object_id"]))
     rows = rows.join(declared, ["object_type", "_name"])
@@ -103,7 +106,7 @@ def typed_properties(props: DataFrame, objects: DataFrame, catalog: DataFrame) -
     )
     return rows.withColumn("state", state).select(
         "prop_row_id", "object_id", "object_type", "property", F.col("_declared").alias("value_type"), "is_multiple",
-        "ordinal", "confidence", "source_system", "extracted_at", "verified_by", "text", "num", "flag", "at", "state",
+        "ordinal", "confidence", "source_system", "extracted_at", "verified_by", "text", "num", "flag", "at", "state", *carry,
     )
 
 
