@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from provgraph.functions.text import key
 from provgraph.llm.components import components
+from provgraph.llm.names import same_entities
 from provgraph.llm.survivors import surviving_rows
 from provgraph.runtime import load
 
@@ -25,6 +26,10 @@ def p1_group_sizes(spark: SparkSession, d: str) -> DataFrame:
     return sizes.groupBy("n_objects").agg(F.count(F.lit(1)).alias("n_groups"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return same_entities(load(spark, d, "vendor_master"), "LIFNR", "NAME1")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return surviving_rows(
         load(spark, d, "object_properties"), load(spark, d, "objects"), _groups(spark, d),
@@ -32,5 +37,5 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_group_sizes, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_group_sizes, p2_found, p6_found)}
 ORACLE_SQL: dict[str, str] = {}
