@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from provgraph.functions.text import key
 from provgraph.llm.components import components
+from provgraph.llm.lookalike import plain_form_rewriter, plain_texts, same_looking_pairs
 from provgraph.llm.names import same_entities
+from provgraph.llm.packing import pack, packing_report, token_counts
 from provgraph.llm.survivors import surviving_rows
-from provgraph.runtime import load
+from provgraph.runtime import cut, load
 
 
 def _groups(spark: SparkSession, d: str) -> DataFrame:
@@ -37,5 +39,29 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_group_sizes, p2_found, p6_found)}
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    sizes = cut(token_counts(load(spark, d, "documents"), "doc_id", "text"))
+    return pack(sizes, load(spark, d, "pack_budgets"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    sizes = cut(token_counts(load(spark, d, "documents"), "doc_id", "text"))
+    budgets = load(spark, d, "pack_budgets")
+    return packing_report(pack(sizes, budgets), sizes, budgets)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return same_looking_pairs(load(spark, d, "documents"), "doc_id", "text")
+
+
+def p10_plain_texts(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents")
+    plain = plain_texts(docs, "doc_id", "text", plain_form_rewriter(docs, "text"))
+    return plain.select("doc_id", F.length("plain").alias("n_chars"), F.sha2("plain", 256).alias("plain_sha256"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_group_sizes, p2_found, p6_found, p8_containers, p8_report, p10_found, p10_plain_texts)
+}
 ORACLE_SQL: dict[str, str] = {}
