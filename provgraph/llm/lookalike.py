@@ -91,7 +91,8 @@ def look_alike_pairs(spark: SparkSession) -> list[tuple[str, str]]:
 
 
 def classes(pairs: list[tuple[str, str]], frequency: dict[str, int]) -> dict[str, str]:
-    """string -> representative of its look-alike class, for all strings but representatives.
+    """string -> representative of its look-alike class, both in canonical decomposition, for all
+    strings but representatives.
 
     Union-find makes the relation transitive. The representative is, in this order: plain ASCII,
     the more frequent in the corpus, the shorter, the smaller. Two different ASCII strings are
@@ -126,25 +127,45 @@ def classes(pairs: list[tuple[str, str]], frequency: dict[str, int]) -> dict[str
         best = min(group, key=lambda s: (not s.isascii(), -frequency.get(s, 0), len(s), s))
         table.update({s: best for s in group if s != best})
     # A representative may hold look-alikes itself (a decomposed letter whose base is one).
-    for s, rep in list(table.items()):
+    decomposed = {}
+    for s, rep in table.items():
         for _ in range(4):
             new = "".join(table.get(c, c) for c in rep)
             if new == rep:
                 break
             rep = new
-        table[s] = rep
-    return {s: rep for s, rep in table.items() if s != rep}
+        # Texts are decomposed before they are rewritten, so only decomposed strings are met.
+        s, rep = unicodedata.normalize("NFD", s), unicodedata.normalize("NFD", rep)
+        if s != rep and not any(c.isspace() for c in s):
+            decomposed[s] = rep
+    return decomposed
+
+
+@lru_cache(maxsize=1)
+def _unseen() -> dict[int, str | None]:
+    """For str.translate: invisible characters out, any blank as a blank."""
+    table: dict[int, str | None] = {9: " "}
+    for cp in range(0x80, 0x110000):
+        ch = chr(cp)
+        if invisible(ch):
+            table[cp] = None
+        elif blank(ch):
+            table[cp] = " "
+    return table
 
 
 @lru_cache(maxsize=4)
-def _automaton(items: frozenset[tuple[str, str]]) -> tuple[dict[int, str | None], ahocorasick.Automaton, re.Pattern]:
-    single = {ord(s): rep for s, rep in items if len(s) == 1}
+def _automaton(items: frozenset[tuple[str, str]]) -> ahocorasick.Automaton:
     machine = ahocorasick.Automaton()
     for s, rep in items:
         machine.add_word(s, (len(s), rep))
     machine.make_automaton()
-    special = re.compile("[^\x00-\x7f]")
-    return single, machine, special
+    return machine
+
+
+# A word with a character outside ASCII: no look-alike string reaches over a blank.
+_WORD = re.compile("(?<!\\S)[\x00-\x08\x0e-\x1b!-\x7f]*+[^\x00-\x7f]\\S*")
+_MEMO_WORDS = 200_000
 
 
 class Rewriter:
@@ -152,32 +173,36 @@ class Rewriter:
 
     def __init__(self, table: dict[str, str]):
         self.items = frozenset(table.items())
-
-    def _ready(self):
-        return _automaton(self.items)
+        self.memo: dict[str, str] = {}
+
+    def __getstate__(self) -> dict:
+        return {"items": self.items, "memo": {}}
+
+    def _word(self, match: re.Match) -> str:
+        word = match.group()
+        plain = self.memo.get(word)
+        if plain is None:
+            out, at = [], 0
+            for end, (size, rep) in _automaton(self.items).iter_long(word):
+                out.append(word[at : end - size + 1])
+                out.append(rep)
+                at = end + 1
+            out.append(word[at:])
+            plain = "".join(out)
+            if len(word) < 100:
+                if len(self.memo) >= _MEMO_WORDS:
+                    self.memo.clear()
+                self.memo[word] = plain
+        return plain
 
     def __call__(self, text: str) -> str:
         """The plain form: invisible characters left out, any blank as a blank, look-alikes as
         their representatives, combining marks in canonical order."""
         if text.isascii():
             return text.replace("\t", " ") if "\t" in text else text
-        _, machine, _ = self._ready()
         # Canonical decomposition first: composed and combining accents become the same.
-        flat = unicodedata.normalize("NFD", text)
-        kept = "".join(" " if blank(c) else c for c in flat if c.isascii() or not invisible(c)) if not flat.isascii() else flat
-        kept = kept.replace("\t", " ")
-        if kept.isascii():
-            return kept
-        out, at = [], 0
-        for end, (size, rep) in machine.iter_long(kept):
-            start = end - size + 1
-            if start < at:
-                continue
-            out.append(kept[at:start])
-            out.append(rep)
-            at = end + 1
-        out.append(kept[at:])
-        return unicodedata.normalize("NFD", "".join(out))
+        kept = unicodedata.normalize("NFD", text).translate(_unseen())
+        return kept if kept.isascii() else unicodedata.normalize("NFD", _WORD.sub(self._word, kept))
 
 
 def corpus_frequency(texts: DataFrame, column: str) -> dict[str, int]:

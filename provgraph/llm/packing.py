@@ -55,25 +55,30 @@ def token_counts(docs: DataFrame, doc_id: str, text: str, tokenizer: str = TOKEN
     return docs.select(doc_id, text).mapInPandas(count, "doc_id long, n_tokens long")
 
 
-def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """Least number of containers for items of `sizes` (each at most `capacity`), by dual-feasible
-    functions: the identity, the rounding family u_k, and the big-and-small family over all
-    thresholds."""
-    sizes = np.sort(sizes[sizes > 0].astype(np.int64))
+def lower_bound(sizes: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
+    """Least number of containers for items of `sizes` (each at most `capacity`, `counts` of each),
+    by dual-feasible functions: the identity, the rounding family u_k, and the big-and-small family
+    over all thresholds."""
+    sizes = sizes.astype(np.int64)
+    counts = np.ones(len(sizes), dtype=np.int64) if counts is None else counts.astype(np.int64)
+    order = np.argsort(sizes, kind="stable")
+    order = order[sizes[order] > 0]
+    sizes, counts = sizes[order], counts[order]
     if not len(sizes):
         return 0
-    best = -(-int(sizes.sum()) // capacity)
+    best = -(-int((sizes * counts).sum()) // capacity)
     for k in range(1, 25):
         scaled = sizes * (k + 1)
-        exact = scaled % capacity == 0
-        # u_k(x) * k * capacity, kept whole: x * k where (k + 1) x is a multiple, else floor * capacity.
-        value = np.where(exact, sizes * k, scaled // capacity * capacity).sum()
-        best = max(best, -(-int(value) // (k * capacity)))
-    total = np.concatenate([[0], np.cumsum(sizes)])
-    half = np.searchsorted(sizes, capacity / 2, side="right")
-    low = np.unique(np.concatenate([[0], sizes[:half]]))
-    big = np.searchsorted(sizes, capacity - low, side="right")
-    n_big, n_mid = len(sizes) - big, big - half
+        # u_k(x) * k * capacity, kept whole: x * k where (k + 1) x is a multiple of the capacity,
+        # else the floor of (k + 1) x / capacity, times the capacity.
+        value = np.where(scaled % capacity == 0, sizes * k, scaled // capacity * capacity)
+        best = max(best, -(-int((value * counts).sum()) // (k * capacity)))
+    total = np.concatenate([[0], np.cumsum(sizes * counts)])
+    number = np.concatenate([[0], np.cumsum(counts)])
+    half = int(np.searchsorted(sizes, capacity / 2, side="right"))
+    low = np.unique(np.concatenate([[1], sizes[:half]]))
+    big = np.searchsorted(sizes, capacity - low, side="right").clip(min=half)
+    n_big, n_mid = number[-1] - number[big], number[big] - number[half]
     room = n_mid * capacity - (total[big] - total[half])
     small = total[half] - total[np.searchsorted(sizes, low, side="left").clip(max=half)]
     extra = np.maximum(0, -(-(small - room) // capacity))
@@ -199,17 +204,21 @@ def _named(packed: DataFrame, round_no: int) -> DataFrame:
     )
 
 
-def packing_report(packed: DataFrame, sizes: DataFrame, budgets: DataFrame) -> DataFrame:
-    """Per budget: containers used, a lower bound for them (total size over capacity), documents,
-    pieces, tokens and the share of space that is filled."""
+def packing_report(packed: DataFrame, budgets: DataFrame) -> DataFrame:
+    """Per budget: containers used, the lower bound on their number (dual-feasible functions over
+    all pieces together), documents, pieces, tokens and the share of space that is filled."""
     used = packed.groupBy("budget_id").agg(
         F.count_distinct("container").alias("n_containers"), F.count_distinct("doc_id").alias("n_docs"),
         F.count(F.lit(1)).alias("n_pieces"), F.sum("n_tokens").alias("n_tokens"),
-    )
-    out = used.join(budgets.select("budget_id", "capacity_tokens"), "budget_id")
-    return out.withColumns(
-        {
-            "lower_bound": F.ceil(F.col("n_tokens") / F.col("capacity_tokens")),
-            "filled": F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 4),
-        }
-    )
+    ).join(budgets.select("budget_id", "capacity_tokens"), "budget_id")
+    # A histogram of sizes has at most as many rows as the capacity.
+    sizes = packed.groupBy("budget_id", F.col("n_tokens").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.join(budgets.select("budget_id", "capacity_tokens"), "budget_id")
+
+    def bound(pdf: pd.DataFrame) -> pd.DataFrame:
+        least = lower_bound(pdf["size"].to_numpy(), int(pdf["capacity_tokens"].iloc[0]), pdf["n"].to_numpy())
+        return pd.DataFrame({"budget_id": pdf["budget_id"].iloc[:1], "lower_bound": [least]})
+
+    bounds = sizes.groupBy("budget_id").applyInPandas(bound, "budget_id int, lower_bound long")
+    filled = F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens"))
+    return used.join(bounds, "budget_id").withColumn("filled", F.round(filled, 4))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from provgraph.functions.text import key
 from provgraph.llm.components import components
-from provgraph.llm.lookalike import plain_form_rewriter, plain_texts, same_looking_pairs
+from provgraph.llm.leakage import leaked_items
+from provgraph.llm.lookalike import Rewriter, classes, look_alike_pairs, plain_form_rewriter, plain_texts, same_looking_pairs
 from provgraph.llm.names import same_entities
 from provgraph.llm.packing import pack, packing_report, token_counts
 from provgraph.llm.survivors import surviving_rows
@@ -47,7 +48,20 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
     sizes = cut(token_counts(load(spark, d, "documents"), "doc_id", "text"))
     budgets = load(spark, d, "pack_budgets")
-    return packing_report(pack(sizes, budgets), sizes, budgets)
+    return packing_report(cut(pack(sizes, budgets)), budgets)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    # Any representative of a look-alike class will do here, so no frequencies are counted.
+    rewriter = Rewriter(classes(look_alike_pairs(spark), {}))
+    items = load(spark, d, "eval_items")
+    return leaked_items(load(spark, d, "documents"), "doc_id", "text", items, "item_id", "passage", rewriter)
+
+
+def p9_leaks_per_suite(spark: SparkSession, d: str) -> DataFrame:
+    suites = load(spark, d, "eval_items").select("item_id", "suite")
+    hits = p9_found(spark, d).join(suites, "item_id")
+    return hits.groupBy("suite").agg(F.count_distinct("item_id").alias("n_items"), F.count_distinct("doc_id").alias("n_docs"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -62,6 +76,6 @@ def p10_plain_texts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_group_sizes, p2_found, p6_found, p8_containers, p8_report, p10_found, p10_plain_texts)
+    for f in (p1_found, p1_group_sizes, p2_found, p6_found, p8_containers, p8_report, p9_found, p9_leaks_per_suite, p10_found, p10_plain_texts)
 }
 ORACLE_SQL: dict[str, str] = {}
