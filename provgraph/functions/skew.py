@@ -7,39 +7,48 @@ from pyspark.sql import functions as F
 
 #: At most this many keys are treated as hot; the table of them is broadcast, so this is its bound.
 HOT_KEYS = 256
+#: A key with fewer rows is no burden for a task and is never hot.
+HOT_ROWS = 20_000
 #: A hot key's rows are spread over so many salts.
 SALTS = 48
 
 
-def hot_keys(df: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
-    """The HOT_KEYS most frequent keys (a distributed top-k; never more than HOT_KEYS rows).
+def hot_keys(df: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame | None:
+    """The most frequent keys of `df` (one job; at most HOT_KEYS rows reach the driver), or None if
+    no key has HOT_ROWS rows.
 
-    Any other key holds less than 1/HOT_KEYS of the rows, a fair share for a task.
-    `weight`: a column that already holds the number of rows of each key.
+    A key beyond the first HOT_KEYS holds less than 1/HOT_KEYS of the rows, a fair share for a
+    task. `weight`: a column that already holds the number of rows of each key. Where `df` is
+    costly it should be materialised before.
     """
     if weight is None:
         weight = "_n"
         df = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(weight))
-    return df.orderBy(F.desc(weight), *keys).limit(HOT_KEYS).select(*keys)
+    top = df.where(F.col(weight) >= HOT_ROWS).orderBy(F.desc(weight), *keys).limit(HOT_KEYS).select(*keys)
+    rows = top.collect()
+    return df.sparkSession.createDataFrame(rows, top.schema) if rows else None
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, keys: list[str], spread: str, hot: DataFrame, how: str = "inner", salts: int = SALTS
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    spread: str,
+    hot: DataFrame | None,
+    how: str = "inner",
+    salts: int = SALTS,
 ) -> DataFrame:
     """Equi-join of a skewed `left` with a `right` that has few rows per key.
 
     Rows of hot keys get a salt from the hash of `spread` (deterministic, so a recomputed task
-    gives the same rows); the few right rows of hot keys are repeated for each salt. `how` is
-    'inner' or 'left'. Null keys match nothing and are spread by their hash.
+    gives the same rows); the few right rows of hot keys are repeated for each salt. Without hot
+    keys it is a plain join. `how` is 'inner' or 'left'. Null keys match nothing.
     """
+    if hot is None:
+        return left.join(right, keys, how)
     flag = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
     salt = F.pmod(F.xxhash64(F.col(spread)), F.lit(salts)).cast("int")
-    no_key = F.lit(False)
-    for k in keys:
-        no_key = no_key | F.col(k).isNull()
-    lhs = left.join(flag, keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | no_key, salt).otherwise(F.lit(0))
-    )
+    lhs = left.join(flag, keys, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0)))
     every = F.sequence(F.lit(0), F.lit(salts - 1))
     rhs = right.join(flag, keys, "left").withColumn(
         "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))

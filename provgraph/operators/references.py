@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provgraph.functions.skew import hot_keys, salted_join
+from provgraph.runtime import cut
 
 
 def parent_keys(target: str, df: DataFrame, key: Column, seen_at: Column, deleted_at: Column | None = None) -> DataFrame:
@@ -75,6 +76,7 @@ def failing_references(parents: list[DataFrame], children: list[DataFrame]) -> D
             | ((F.col("n_alive") == 0) & (F.col("last_deleted") <= F.col("max_at")))
         )
     ).drop("min_at", "max_at")
+    suspects = cut(suspects)  # few rows beside the input; used for the hot keys and for the join
     keys = ["target", "key"]
     joined = salted_join(child, suspects, keys, "row_key", hot_keys(suspects, keys, "n_child"))
     status = (
