@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from provgraph.plans import preparation, preparation_sql
+from provgraph.plans import graph, graph_sql, preparation, preparation_sql
 
-QUERIES = {**preparation.QUERIES}
-ORACLE_SQL = {**preparation_sql.ORACLE_SQL}
-FLAGSHIP = preparation.p3_by_month
+QUERIES = {**graph.QUERIES, **preparation.QUERIES}
+ORACLE_SQL = {**graph_sql.ORACLE_SQL, **preparation_sql.ORACLE_SQL}
+FLAGSHIP = graph.c1_supplier_device_risk_one
