@@ -245,7 +245,8 @@ def name_links(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     records: (name, sig), the signature of each name; links: (a, b, sure) between signatures that
     are alike; `sure` is false where only an initial, or no given name, speaks for a person.
     """
-    parsed = names.mapInPandas(
+    # Parsing costs far more than reading, so rows are spread over all tasks first.
+    parsed = names.repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(
         _parse,
         "name string, line string, given string, tokens array<string>, shorts array<string>, sig string, "
         "grams array<struct<gram:string,token:int>>",

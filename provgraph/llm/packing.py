@@ -144,9 +144,13 @@ def pack(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
     without a positive capacity give no rows. A container is named by budget, round, partition and
     number; the result is the same for the same rows.
     """
-    budgets = budgets.where("capacity_tokens > 0").select("budget_id", F.col("capacity_tokens").cast("int").alias("capacity"))
-    # The budgets are a handful of settings: a cross product with them is the task itself.
-    items = sizes.join(F.broadcast(budgets) if budgets.limit(1001).count() <= 1000 else budgets, F.lit(True))
+    # The budgets are settings, a handful of rows; an array of them is exploded beside each size.
+    settings = budgets.where("capacity_tokens > 0").select("budget_id", F.col("capacity_tokens").cast("int").alias("capacity")).collect()
+    if not settings:
+        settings_of_item = F.array().cast("array<struct<budget_id:int,capacity:int>>")
+    else:
+        settings_of_item = F.array(*(F.struct(F.lit(b).alias("budget_id"), F.lit(c).alias("capacity")) for b, c in settings))
+    items = sizes.select("doc_id", "n_tokens", F.inline(settings_of_item))
     whole = (F.col("n_tokens") / F.col("capacity")).cast("int")
     rest = F.col("n_tokens") - whole * F.col("capacity")
     full = items.where(whole > 0).select(

@@ -11,6 +11,7 @@ from provgraph.llm.leakage import leaked_items
 from provgraph.llm.lookalike import Rewriter, classes, look_alike_pairs, plain_form_rewriter, plain_texts, same_looking_pairs
 from provgraph.llm.names import same_entities
 from provgraph.llm.packing import pack, packing_report, token_counts
+from provgraph.llm.sql import ORACLE_SQL as ORACLE_SQL
 from provgraph.llm.survivors import surviving_rows
 from provgraph.runtime import cut, load
 
@@ -78,4 +79,3 @@ QUERIES = {
     f.__name__: f
     for f in (p1_found, p1_group_sizes, p2_found, p6_found, p8_containers, p8_report, p9_found, p9_leaks_per_suite, p10_found, p10_plain_texts)
 }
-ORACLE_SQL: dict[str, str] = {}
