@@ -53,25 +53,23 @@ def split_values(c: Column) -> Column:
         return F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
 
     def masked_by(pattern: str) -> Column:
-        parts = F.split(body, pattern)
-        last = F.size(parts) - 1
-        marked = F.transform(
-            parts,
-            lambda x, i: F.when(i < last, F.concat(x, F.lit(_MARK), i.cast("string"), F.lit(_END))).otherwise(x),
-        )
-        return F.array_join(marked, "")
+        marked = F.transform(F.split(body, pattern), lambda x, i: F.concat(x, F.lit(_MARK), i.cast("string"), F.lit(_END)))
+        return F.regexp_replace(F.array_join(marked, ""), rf"{_MARK}[0-9]+{_END}\z", "")
 
     spans = F.when(is_json, spans_of(_QUOTED_JSON)).otherwise(spans_of(_QUOTED))
     masked = F.when(is_json, masked_by(_QUOTED_JSON)).otherwise(masked_by(_QUOTED))
     whole = rf"\A[{WS}]*{_MARK}([0-9]+){_END}[{WS}]*\z"
 
-    def restore(piece: Column) -> Column:
+    def restore(row: Column, piece: Column) -> Column:
         index = F.regexp_extract(piece, whole, 1)
-        span = F.get(spans, index.try_cast("int"))
-        text = F.when(index != "", _unquote(span, is_json)).otherwise(piece)
+        span = F.get(row["spans"], index.try_cast("int"))
+        text = F.when(index != "", _unquote(span, row["is_json"])).otherwise(piece)
         return squeeze(F.replace(text, F.lit(_MARK + _ESC), F.lit(_MARK)))
 
-    pieces = F.transform(F.split(masked, _SPLIT), restore)
+    # An expression inside a lambda is evaluated for each element. The spans are bound to a lambda
+    # variable, over an array of one, so that they are made once per row and only looked up.
+    row = F.struct(spans.alias("spans"), is_json.alias("is_json"), F.split(masked, _SPLIT).alias("pieces"))
+    pieces = F.flatten(F.transform(F.array(row), lambda r: F.transform(r["pieces"], lambda x: restore(r, x))))
     return F.coalesce(F.filter(pieces, lambda x: x != ""), F.array().cast("array<string>"))
 
 
