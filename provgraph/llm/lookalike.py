@@ -197,12 +197,12 @@ class Rewriter:
 
     def __call__(self, text: str) -> str:
         """The plain form: invisible characters left out, any blank as a blank, look-alikes as
-        their representatives, combining marks in canonical order."""
+        their representatives, accents composed (NFC)."""
         if text.isascii():
             return text.replace("\t", " ") if "\t" in text else text
         # Canonical decomposition first: composed and combining accents become the same.
         kept = unicodedata.normalize("NFD", text).translate(_unseen())
-        return kept if kept.isascii() else unicodedata.normalize("NFD", _WORD.sub(self._word, kept))
+        return kept if kept.isascii() else unicodedata.normalize("NFC", _WORD.sub(self._word, kept))
 
 
 def corpus_frequency(texts: DataFrame, column: str) -> dict[str, int]:
@@ -219,7 +219,7 @@ def corpus_frequency(texts: DataFrame, column: str) -> dict[str, int]:
             for text in pdf[column]:
                 if text is not None and not text.isascii():
                     total.update(re.findall("[^\x00-\x7f]", text))
-        yield pd.DataFrame({"ch": list(total), "n": list(total.values())}).astype({"n": "int64"})
+        yield pd.DataFrame({"ch": pd.Series(list(total), dtype=object), "n": pd.Series(list(total.values()), dtype="int64")})
 
     rows = texts.select(column).mapInPandas(count, "ch string, n long").groupBy("ch").agg(F.sum("n").alias("n")).collect()
     return {r.ch: r.n for r in rows}

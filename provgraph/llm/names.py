@@ -228,22 +228,24 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        keep, strength = [], []
+        keep, sure = [], []
         for r in pdf.itertuples(index=False):
             fit = given_fits(r.given, r.given_b) if r.line == "person" else "yes"
             ok = fit != "no" and likeness(
                 list(r.tokens), list(r.tokens_b), list(r.shorts), list(r.shorts_b), list(r.weights), list(r.weights_b)
             ) >= ACCEPT
             keep.append(ok)
-            strength.append(fit == "yes")
-        yield pd.DataFrame({"a": pdf["sig"], "b": pdf["sig_b"], "sure": strength})[keep]
+            sure.append(fit == "yes")
+        short = {c: pdf[g].str.len().lt(1) | pdf[g].str.endswith(".") for c, g in (("a_short", "given"), ("b_short", "given_b"))}
+        yield pd.DataFrame({"a": pdf["sig"], "b": pdf["sig_b"], "sure": sure, **short})[keep]
 
 
 def name_links(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records, links) for a frame with a column `name` (distinct, not blank).
 
-    records: (name, sig), the signature of each name; links: (a, b, sure) between signatures that
-    are alike; `sure` is false where only an initial, or no given name, speaks for a person.
+    records: (name, sig), the signature of each name; links: (a, b, sure, a_short, b_short) between
+    signatures that are alike; `sure` is false where only an initial, or no given name, speaks for
+    a person, and the short ends are those without a full given name.
     """
     # Parsing costs far more than reading, so rows are spread over all tasks first.
     parsed = names.repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(
@@ -278,7 +280,7 @@ def name_links(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     # A pair meets at each gram that both prefixes hold; it is taken at the first one only.
     first = F.element_at(F.array_intersect("prefix", "prefix_b"), 1) == F.col("key")
     verified = pairs.where(first & alike).drop("set", "set_b", "prefix", "prefix_b", "key")
-    return parsed.select("name", "sig"), verified.mapInPandas(_verify, "a string, b string, sure boolean")
+    return parsed.select("name", "sig"), verified.mapInPandas(_verify, "a string, b string, sure boolean, a_short boolean, b_short boolean")
 
 
 def same_entities(vendors: DataFrame, number: str, name: str) -> DataFrame:
@@ -298,14 +300,14 @@ def same_entities(vendors: DataFrame, number: str, name: str) -> DataFrame:
     node = records.select(F.concat(F.lit("n:"), "num").alias("a"), F.concat(F.lit("s:"), "sig").alias("b"))
     sure = links.where("sure").select(F.concat(F.lit("s:"), "a").alias("a"), F.concat(F.lit("s:"), "b").alias("b"))
     groups = cut(components(node.unionByName(sure)))
-    maybe = links.where(~F.col("sure")).select(F.concat(F.lit("s:"), "a").alias("a"), F.concat(F.lit("s:"), "b").alias("b"))
-    group_of = groups.select(F.col("id"), "group_id")
-    for end in ("a", "b"):
-        maybe = maybe.join(group_of.select(F.col("id").alias(end), F.col("group_id").alias(f"g{end}")), end)
-    maybe = maybe.where(F.col("ga") != F.col("gb"))
-    both = cut(maybe.select("ga", "gb").unionByName(maybe.select(F.col("gb").alias("ga"), F.col("ga").alias("gb"))).distinct())
-    single = both.groupBy("ga").agg(F.count(F.lit(1)).alias("n"), F.min("gb").alias("gb")).where("n = 1")
-    extra = single.select(F.col("ga").alias("a"), F.col("gb").alias("b"))
+    doubtful = links.where(~F.col("sure"))
+    sides = [doubtful.where(f"{x}_short").select(F.concat(F.lit("s:"), x).alias("x"), F.concat(F.lit("s:"), y).alias("y")) for x, y in ("ab", "ba")]
+    maybe = sides[0].unionByName(sides[1])
+    for end in ("x", "y"):
+        maybe = maybe.join(groups.select(F.col("id").alias(end), F.col("group_id").alias(f"g{end}")), end)
+    # A group with a short given name joins the one group it is like; if there are several, none.
+    only = maybe.where("gx <> gy").groupBy("gx").agg(F.min("gy").alias("a"), F.max("gy").alias("b")).where("a = b")
+    extra = only.select("a", F.col("gx").alias("b"))
     merged = components(extra).select(F.col("id").alias("group_id"), F.col("group_id").alias("merged"))
     groups = groups.join(merged, "group_id", "left").select("id", F.coalesce("merged", "group_id").alias("group_id"))
     numbers = cut(groups.where(F.col("id").startswith("n:")).select(F.substr("id", F.lit(3)).alias("num"), "group_id"))
