@@ -51,12 +51,12 @@ def paths(links: DataFrame, objects: DataFrame, profile: Profile, source_id: str
     out: DataFrame | None = None
     for k, step in enumerate(profile.steps, 1):
         edges = _edges(links, step.link_type, step.direction, k)
-        if out is None:
-            out = edges.where(F.col("n0") == source_id) if source_id is not None else edges
-        else:
-            out = out.join(edges, f"n{k - 1}")
+        if out is None and source_id is not None:
+            edges = edges.where(F.col("n0") == source_id)
+        # Ends are checked on the edges, of which there are far fewer than paths.
         known = ids.where(F.col("object_type") == profile.to) if k == len(profile.steps) else ids
-        out = out.join(known.select(F.col("id").alias(f"n{k}")), f"n{k}", "left_semi")
+        edges = edges.join(known.select(F.col("id").alias(f"n{k}")), f"n{k}", "left_semi")
+        out = edges if out is None else out.join(edges, f"n{k - 1}")
     return out.where(F.col(f"n{len(profile.steps)}") != F.col("n0"))
 
 
