@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +14,27 @@ from pyspark.sql import functions as F
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table `name` of the data directory `sf_dir` (a parquet file or a folder of them)."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, wherever the driver found it: it is added
+    to the session as a zip file, once."""
+    sc = spark.sparkContext
+    if getattr(sc, "_provgraph_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    content = io.BytesIO()
+    with zipfile.ZipFile(content, "w") as z:
+        for path in sorted(here.rglob("*.py")):
+            z.write(path, str(path.relative_to(here.parent)))
+    file = Path(tempfile.mkdtemp(prefix="provgraph-")) / "provgraph.zip"
+    file.write_bytes(content.getvalue())
+    sc.addPyFile(str(file))  # the driver serves it to the executors
+    sc._provgraph_shipped = True
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` and cut its lineage with a reliable checkpoint.
 
