@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provgraph.functions.skew import hot_keys, salted_join
-from provgraph.runtime import cut
+from provgraph.runtime import cut, ship
 
 _CATEGORY_OF = {"Lu": "A", "Lt": "A", "Ll": "a", "Lm": "a", "Lo": "a", "Nd": "0", "Nl": "0", "No": "0"}
 
@@ -211,6 +211,7 @@ def corpus_frequency(texts: DataFrame, column: str) -> dict[str, int]:
     Counted per batch and summed before the driver sees them; at most the size of Unicode.
     """
 
+    ship(texts.sparkSession)
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from collections import Counter
 
@@ -232,6 +233,7 @@ def plain_form_rewriter(texts: DataFrame, column: str) -> Rewriter:
 
 def plain_texts(docs: DataFrame, doc_id: str, text: str, rewriter: Rewriter) -> DataFrame:
     """(doc_id, plain): every text in its plain form. Null texts stay null."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(rewriter)
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,6 +252,7 @@ def same_looking_pairs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     Byte-equal copies are no pair. Null texts are in no pair; empty text looks like text of
     invisible characters only.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(plain_form_rewriter(docs, text))
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

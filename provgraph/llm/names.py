@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from provgraph.functions.skew import hot_keys, salted_join
 from provgraph.functions.text import is_blank, number_key
 from provgraph.llm.components import components
-from provgraph.runtime import cut
+from provgraph.runtime import cut, ship
 
 # Words for a line of business, with the abbreviations in use besides the word's
 # own beginnings.
@@ -247,6 +247,7 @@ def name_links(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     signatures that are alike; `sure` is false where only an initial, or no given name, speaks for
     a person, and the short ends are those without a full given name.
     """
+    ship(names.sparkSession)
     # Parsing costs far more than reading, so rows are spread over all tasks first.
     parsed = names.repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(
         _parse,

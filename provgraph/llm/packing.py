@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provgraph.runtime import cut
+from provgraph.runtime import cut, ship
 
 #: Items per partition: enough for tight packing, little for a task's memory.
 PARTITION_ITEMS = 20_000
@@ -46,6 +46,7 @@ def token_counts(docs: DataFrame, doc_id: str, text: str, tokenizer: str = TOKEN
     `tokenizer`: a file of byte-level BPE ranks that every worker can read.
     """
 
+    ship(docs.sparkSession)
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoding = _encoding(tokenizer)
         for pdf in batches:
@@ -144,6 +145,7 @@ def pack(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
     without a positive capacity give no rows. A container is named by budget, round, partition and
     number; the result is the same for the same rows.
     """
+    ship(sizes.sparkSession)
     # The budgets are settings, a handful of rows; an array of them is exploded beside each size.
     settings = budgets.where("capacity_tokens > 0").select("budget_id", F.col("capacity_tokens").cast("int").alias("capacity")).collect()
     if not settings:
@@ -215,6 +217,7 @@ def packing_report(packed: DataFrame, budgets: DataFrame) -> DataFrame:
         F.count_distinct("container").alias("n_containers"), F.count_distinct("doc_id").alias("n_docs"),
         F.count(F.lit(1)).alias("n_pieces"), F.sum("n_tokens").alias("n_tokens"),
     ).join(budgets.select("budget_id", "capacity_tokens"), "budget_id")
+    ship(packed.sparkSession)
     # A histogram of sizes has at most as many rows as the capacity.
     sizes = packed.groupBy("budget_id", F.col("n_tokens").alias("size")).agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.join(budgets.select("budget_id", "capacity_tokens"), "budget_id")
