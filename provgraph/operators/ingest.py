@@ -16,12 +16,12 @@ REJECT_CODES = [
     "DEVICE_MISSING_ID", "DEVICE_MISSING_NAME", "DEVICE_INVALID_REG_CLASS", "DEVICE_INVALID_LIFECYCLE",
 ]
 SKIP_CODES = ["SUPPLY_ORPHAN_VENDOR", "SUPPLY_ORPHAN_MATERIAL", "BOM_ORPHAN_DEVICE", "BOM_ORPHAN_PART"]
-# The number grammar of the sources (hexadecimal included), legal suffixes of names,
-# and the prefix of the identifier hash.
+# The number grammar of the sources (hexadecimal included) and legal suffixes of names.
 _NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 _HEX = "0[xX][0-9a-fA-F]+"
 LEGAL_FORMS = {"spelled": ["gmbh", "sa"], "dotted": ["ltd", "inc", "corp", "co"], "plain": ["limited", "kg", "ag"]}
-ID_PREFIX = "sourcing-ontology/ingest/v1"
+#: Namespace of the identifiers; that of an existing installation keeps its identifiers the same.
+ID_NAMESPACE = "provgraph/ingest/v1"
 
 
 def number(c: Column) -> Column:
@@ -66,10 +66,10 @@ def certifications(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"\|"), squeeze), lambda x: x != "")
 
 
-def object_id(system: str, key: Column) -> Column:
-    """A deterministic identifier in UUID form: SHA-256 of prefix, system and key with zero bytes
+def object_id(system: str, key: Column, namespace: str = ID_NAMESPACE) -> Column:
+    """A deterministic identifier in UUID form: SHA-256 of namespace, system and key with zero bytes
     between, with the version and variant bits of a random UUID."""
-    h = F.sha2(F.concat(F.lit(f"{ID_PREFIX}\0{system}\0"), key), 256)
+    h = F.sha2(F.concat(F.lit(f"{namespace}\0{system}\0"), key), 256)
     variant = F.element_at(F.array(*(F.lit(x) for x in "89ab")), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4) + 1)
     return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-4"), F.substring(h, 14, 3), F.lit("-"), variant,
                     F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
@@ -136,7 +136,8 @@ def linked(rows: DataFrame, sides: list[tuple[str, DataFrame, str, str]]) -> Dat
 class Plan:
     """What a bundle becomes: accepted rows, rejects, links and skipped links, all lazy."""
 
-    def __init__(self, bundle: dict[str, DataFrame]):
+    def __init__(self, bundle: dict[str, DataFrame], namespace: str = ID_NAMESPACE):
+        self.namespace = namespace
         self.vendors = checked_vendors(bundle["vendor_master"])
         self.materials = checked_materials(bundle["material_master"])
         self.devices = checked_devices(bundle["device_master"])
@@ -174,7 +175,7 @@ class Plan:
         for df, column, kind, system, file in sides:
             k = squeeze(F.col(column))
             parts.append(df.where("code is null").select(
-                object_id(system, k).alias("id"), F.lit(kind).alias("object_type"), F.lit(system).alias("source_system"),
+                object_id(system, k, self.namespace).alias("id"), F.lit(kind).alias("object_type"), F.lit(system).alias("source_system"),
                 k.alias("source_key"), F.concat(F.lit(f"{file}:"), F.col("line").cast("string")).alias("source_record_id"),
             ))
         return reduce(DataFrame.unionByName, parts)
@@ -188,8 +189,8 @@ class Plan:
         parts = []
         for df, kind, (system, column), fallback, file in sides:
             parts.append(df.where("code is null").select(
-                F.lit(kind).alias("link_type"), object_id(system, squeeze(F.col(column))).alias("from_id"),
-                object_id("SAP_MATERIAL_MASTER", squeeze(F.col("MATNR"))).alias("to_id"), confidence(F.col("CONFIDENCE"), fallback).alias("confidence"),
+                F.lit(kind).alias("link_type"), object_id(system, squeeze(F.col(column)), self.namespace).alias("from_id"),
+                object_id("SAP_MATERIAL_MASTER", squeeze(F.col("MATNR")), self.namespace).alias("to_id"), confidence(F.col("CONFIDENCE"), fallback).alias("confidence"),
                 F.concat(F.lit(f"{file}:"), F.col("line").cast("string")).alias("source_record_id"),
             ))
         return reduce(DataFrame.unionByName, parts)
