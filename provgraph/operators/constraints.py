@@ -99,3 +99,20 @@ def cardinality_breaks(rows: DataFrame, objects: DataFrame) -> DataFrame:
         .when(F.col("multiple") & ((F.col("low") != 0) | (F.col("high") != F.col("n") - 1) | (F.col("different") != F.col("n"))), "ordinals not contiguous")
     )
     return joined.withColumn("problem", problem).where("problem is not null").select("object_id", "property_name", "problem")
+
+
+def graph_checks(objects: DataFrame, rows: DataFrame, links: DataFrame) -> dict[str, DataFrame]:
+    """Every rule over a graph as a violation query: the gate of a commit."""
+    return {
+        "objects": broken_rules(objects, F.col("id"), object_rules()),
+        "properties": broken_rules(rows, F.concat_ws("|", *PROPERTY_KEY), property_rules()),
+        "links": broken_rules(links, F.col("id"), link_rules()),
+        "L6_repeated_edge": repeated_keys(links, ["link_type", "from_id", "to_id"]),
+        "L7_repeated_property": repeated_keys(rows, PROPERTY_KEY),
+        "L10_many_to_one": repeated_keys(links, ["from_id"], F.col("link_type").isin([t.name for t in LINK_TYPES.values() if t.cardinality == "MANY_TO_ONE"])),
+        "L11_property_object": missing_targets(rows, "object_id", objects, "id"),
+        "L11_link_from": missing_targets(links, "from_id", objects, "id"),
+        "L11_link_to": missing_targets(links, "to_id", objects, "id"),
+        "end_types": wrong_end_types(links, objects),
+        "L18_cardinality": cardinality_breaks(rows, objects),
+    }

@@ -161,3 +161,26 @@ def bottleneck_scores(links: DataFrame, profile: Profile) -> DataFrame:
             stepped = out.join(edges, "node").select("source_id", F.col("next").alias("node"), F.least("confidence", "c").alias("c"), F.col("path_count").alias("n"))
         out = stepped.groupBy("source_id", "node").agg(F.max("c").alias("confidence"), F.sum("n").alias("path_count"))
     return out.where("source_id <> node").withColumnRenamed("node", "target_id")
+
+
+def risk_report(best: DataFrame, profile: Profile, names: DataFrame) -> DataFrame:
+    """Best paths as text, one line per target in target order: name, confidence with all its
+    decimals, number of routes, the route with names, and its weakest link marked.
+
+    `names` (id, name) is joined only to the nodes shown; a node without a name shows its id.
+    """
+    steps = F.posexplode(steps_array(profile)).alias("k", "step")
+    shown = best.select("source_id", "target_id", "confidence", "path_count", "weakest_step", steps)
+    named = shown.join(names.select(F.col("id").alias("_id"), "name"), F.col("step.to") == F.col("_id"), "left")
+    label = F.concat(
+        F.coalesce("name", "step.to"), F.lit(" ("), F.col("step.confidence").cast("string"), F.lit(")"),
+        F.when(F.col("k") == F.col("weakest_step"), "*").otherwise(""),
+    )
+    lines = named.groupBy("source_id", "target_id", "confidence", "path_count").agg(
+        F.sort_array(F.collect_list(F.struct("k", label.alias("label"), F.coalesce("name", "step.to").alias("node")))).alias("route")
+    )
+    return lines.select(
+        "source_id", "target_id", F.element_at("route", -1)["node"].alias("target"),
+        F.col("confidence").cast("string").alias("confidence"), "path_count",
+        F.array_join(F.transform("route", lambda x: x["label"]), " > ").alias("route"),
+    )

@@ -24,6 +24,13 @@ def c1_supplier_device_risk_one(spark: SparkSession, d: str) -> DataFrame:
     return best.select("target_id", "confidence", "path_count", F.col("n1").alias("via_part"), "c1", "c2", "weakest_step")
 
 
+def a19_risk_report(spark: SparkSession, d: str) -> DataFrame:
+    p = model.SUPPLIER_DEVICE_RISK
+    best = traverse.best_paths(_found(spark, d, p, SOURCE), p)
+    names = load(spark, d, "part").select(F.concat(F.lit("PART-"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"))
+    return traverse.risk_report(best, p, names).drop("source_id")
+
+
 def d1_supplier_device_risk_all(spark: SparkSession, d: str) -> DataFrame:
     p = model.SUPPLIER_DEVICE_RISK
     return traverse.target_scores(_found(spark, d, p), p).groupBy("source_id").agg(
@@ -258,7 +265,7 @@ def l18_cardinality(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        c1_supplier_device_risk_one, d1_supplier_device_risk_all, d1_bottleneck_site_exposure, c1_supplier_site_exposure_one,
+        c1_supplier_device_risk_one, a19_risk_report, d1_supplier_device_risk_all, d1_bottleneck_site_exposure, c1_supplier_site_exposure_one,
         c1_part_suppliers, c1_co_suppliers_one, c1_event_device_impact, d3_weakest_step_histogram, d8_shared_prefix,
         b3_links_per_object, b3_links_of_one, b1_assemble_devices, b1_assemble_suppliers, b7_explode_round_trip,
         b14_review_queue, b16_touched_by_run, d12_calibration, d7_least_upsert, c6_insert_absent, c3_resolve_sources,

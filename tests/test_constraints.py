@@ -44,3 +44,13 @@ def test_cardinality(spark):
     r = spark.createDataFrame(data, "object_id string, property_name string, ordinal int")
     got = rows(C.cardinality_breaks(r, o).where("object_id = 'd' or property_name = 'certifications'"))
     assert got == [("d", "deviceName", "several rows"), ("d", "lifecycleStage", "required missing"), ("s", "certifications", "ordinals not contiguous")]
+
+
+def test_a_clean_graph_passes_every_check(spark):
+    o = spark.createDataFrame([("v", "SITE", None, None), ("d", "DEVICE", None, None)], "id string, object_type string, merged_into_id string, merged_at timestamp")
+    data = [prop("v", n, 0, '"x"') for n in ("siteName", "country", "siteType")]
+    data += [prop("d", n, 0, '"x"') for n in ("deviceName", "productFamily", "regulatoryClass", "lifecycleStage")]
+    r = spark.createDataFrame(data, ROWS)
+    lk = r.limit(1).select(F.lit("l").alias("id"), F.lit("MANUFACTURED_AT").alias("link_type"), F.lit("d").alias("from_id"), F.lit("v").alias("to_id"), *[c for c in r.columns if c not in ("object_id", "property_name", "ordinal", "value", "value_type")])
+    assert {n: rows(v) for n, v in C.graph_checks(o, r, lk).items()} == {n: [] for n in C.graph_checks(o, r, lk)}
+    assert rows(C.graph_checks(o, r, lk.withColumn("to_id", F.lit("gone")))["L11_link_to"]) != []

@@ -114,3 +114,10 @@ def test_registry_rules():
         model.ObjectType("X", (model.Property("a", "MAP"),))
     with pytest.raises(ValueError):
         model.ObjectType("X", (model.Property("a", required=False, multiple=True),))
+
+
+def test_report(spark):
+    o, links = graph(spark, *CHAIN)
+    names = spark.createDataFrame([("part-1", "Seal"), ("dev-1", "Pump")], "id string, name string")
+    report = T.risk_report(T.best_paths(T.paths(links, o, RISK, "sup-1"), RISK), RISK, names)
+    assert rows(report) == [("sup-1", "dev-1", "Pump", "0.800", 2, "Seal (0.900) > Pump (0.800)*")]
