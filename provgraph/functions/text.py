@@ -17,7 +17,8 @@ NUMBER_NOT_NEGATIVE = (
 
 def squeeze(c: Column) -> Column:
     """Trimmed, with inner runs of whitespace turned into one blank. Null stays null."""
-    return F.trim(F.regexp_replace(c, f"[{WS}]+", " "))
+    # A single blank is left alone: most texts then need no replacement at all.
+    return F.trim(F.regexp_replace(c, f"[{WS}&&[^ ]][{WS}]*+| [{WS}]++", " "))
 
 
 def is_blank(c: Column) -> Column:

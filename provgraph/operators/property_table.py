@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provgraph.functions.skew import hot_keys, salted_join
-from provgraph.functions.text import NUMBER, WS, is_blank, key, name_key, squeeze
+from provgraph.functions.text import NUMBER, key, name_key, squeeze
 from provgraph.runtime import broadcast_if_small, cut
 
 #: Catalogs of at most so many rows are broadcast; larger ones are joined by shuffle.
@@ -79,29 +79,29 @@ def typed_properties(
     text = F.when(F.col("_kind").isin("string", "number", "boolean"), decoded)
     raw = F.regexp_replace("value", r"\A[ \t\r\n]+|[ \t\r\n]+\z", "")
     rows = rows.withColumn("text", F.when(F.col("_kind") == "string", text).when(F.col("_kind").isin("number", "boolean"), raw))
-    trimmed = squeeze(F.col("text"))
+    # Columns that later ones use several times are made one by one, so that each is computed once.
+    rows = rows.withColumn("_t", squeeze(F.col("text")))
+    trimmed, declared_as = F.col("_t"), F.col("_declared")
     is_number = F.col("_kind").isin("string", "number") & trimmed.rlike(rf"\A{NUMBER}\z")
     is_flag = F.col("_kind").isin("string", "boolean") & F.lower(trimmed).isin("true", "false")
-    at = F.when(F.col("_kind") == "string", _timestamp(trimmed))
-    declared_as = F.col("_declared")
     rows = rows.withColumns(
         {
             "num": F.when((declared_as == "NUMBER") & is_number, trimmed.try_cast("double")),
             "flag": F.when((declared_as == "BOOLEAN") & is_flag, F.lower(trimmed) == "true"),
-            "at": F.when(declared_as == "TIMESTAMP", at),
+            "at": F.when((declared_as == "TIMESTAMP") & (F.col("_kind") == "string"), _timestamp(trimmed)),
         }
     )
     readable = (
         F.when(declared_as == "STRING", F.col("_kind").isin("string", "number", "boolean"))
-        .when(declared_as == "NUMBER", is_number)
-        .when(declared_as == "BOOLEAN", is_flag)
+        .when(declared_as == "NUMBER", F.col("num").isNotNull())
+        .when(declared_as == "BOOLEAN", F.col("flag").isNotNull())
         .when(declared_as == "TIMESTAMP", F.col("at").isNotNull())
         .otherwise(F.lit(False))
     )
     state = (
         F.when(F.col("value").isNull() | (F.col("_kind") == "null"), "empty")
-        .when((F.col("_kind") == "string") & is_blank(F.col("text")), "empty")
-        .when(F.coalesce(readable, F.lit(False)), "ok")
+        .when((F.col("_kind") == "string") & (trimmed == ""), "empty")
+        .when(readable, "ok")
         .otherwise("unreadable")
     )
     return rows.withColumn("state", state).select(
