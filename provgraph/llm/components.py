@@ -13,35 +13,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provgraph.functions import skew
 from provgraph.functions.skew import hot_keys, salted_join
 from provgraph.runtime import cut
 
 
-def _follow(pointers: DataFrame, to: DataFrame) -> DataFrame:
+def _hot(df: DataFrame, keys: list[str], n_rows: int) -> DataFrame | None:
+    """Hot keys of a frame of `n_rows` rows; too few rows for any are not looked at."""
+    return hot_keys(df, keys) if n_rows >= skew.HOT_ROWS else None
+
+
+def _follow(pointers: DataFrame, to: DataFrame, n_rows: int) -> DataFrame:
     """(a, p, pp): each pointer a -> p with the pointer of p in `to`, null if it has none."""
     right = to.select(F.col("a").alias("p"), F.col("p").alias("pp"))
-    return salted_join(pointers, right, ["p"], "a", hot_keys(pointers, ["p"]), "left")
+    return salted_join(pointers, right, ["p"], "a", _hot(pointers, ["p"], n_rows), "left")
 
 
-def _hook(edges: DataFrame) -> DataFrame:
+def _hook(edges: DataFrame, n_edges: int) -> DataFrame:
     """(a, p): for each component with edges, the root of the tree it is hooked to."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    parent = cut(both.groupBy("a").agg(F.min("b").alias("p")))
+    parent = both.groupBy("a").agg(F.min("b").alias("p"))
     mutual = F.when(F.col("pp") == F.col("a"), F.least("a", "p")).otherwise(F.col("pp"))
-    pointers = cut(_follow(parent, parent).select("a", mutual.alias("p")))
+    n_ends = 2 * n_edges  # at least the number of pointers
+    pointers = cut(_follow(parent, parent, n_ends).select("a", mutual.alias("p")))
     while True:
-        step = cut(
-            _follow(pointers, pointers).select("a", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved"))
-        )
+        # Two doublings per round trip; where the second moves nothing all pointers are at roots.
+        twice = _follow(pointers, pointers, n_ends).select("a", F.col("pp").alias("p"))
+        if n_ends >= skew.HOT_ROWS:
+            twice = cut(twice)
+        step = cut(_follow(twice, twice, n_ends).select("a", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")))
         pointers = step.select("a", "p")
         if step.where("moved").isEmpty():
             return pointers
 
 
-def _relabel(edges: DataFrame, roots: DataFrame) -> DataFrame:
+def _relabel(edges: DataFrame, roots: DataFrame, n_edges: int) -> DataFrame:
     for end, other in (("a", "b"), ("b", "a")):
         right = roots.select(F.col("a").alias(end), F.col("p").alias("_root"))
-        edges = salted_join(edges, right, [end], other, hot_keys(edges, [end])).drop(end)
+        edges = salted_join(edges, right, [end], other, _hot(edges, [end], n_edges)).drop(end)
         edges = edges.withColumnRenamed("_root", end)
     return _ordered(edges)
 
@@ -62,14 +71,18 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = cut(_ordered(edges.select("a", "b").where(F.col("a").isNotNull() & F.col("b").isNotNull())))
     label: DataFrame | None = None
-    while not edges.isEmpty():
-        roots = _hook(edges)
+    n_edges = n_first = edges.count()
+    while n_edges:
+        roots = _hook(edges, n_edges)
         if label is None:
             label = roots
         else:
-            label = cut(_follow(label, roots).select("a", F.coalesce("pp", "p").alias("p")))
-        edges = cut(_relabel(edges, roots))
+            label = _follow(label, roots, 2 * n_first).select("a", F.coalesce("pp", "p").alias("p"))
+            if n_first >= skew.HOT_ROWS:
+                label = cut(label)
+        edges = cut(_relabel(edges, roots, n_edges))
+        n_edges = edges.count()
     if label is None:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("group_id"))
     least = label.groupBy("p").agg(F.min("a").alias("group_id"))
-    return salted_join(label, least, ["p"], "a", hot_keys(label, ["p"])).select(F.col("a").alias("id"), "group_id")
+    return salted_join(label, least, ["p"], "a", _hot(label, ["p"], 2 * n_first)).select(F.col("a").alias("id"), "group_id")
