@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: At most this many keys are treated as hot; the table of them is broadcast, so this is its bound.
 HOT_KEYS = 256
 #: A key with fewer rows is no burden for a task and is never hot.
-HOT_ROWS = 20_000
+HOT_ROWS = 100_000
 #: A hot key's rows are spread over so many salts.
 SALTS = 48
 
