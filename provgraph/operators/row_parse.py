@@ -22,11 +22,13 @@ _ALNUM = r"\p{L}\p{Nd}"
 
 @dataclass(frozen=True)
 class RowField:
-    """A column of a delimited row; `valid` is a regex for the whole field, `reason` its failure."""
+    """A column of a delimited row; `valid` is a regex for the whole field, `reason` its failure,
+    `nullable` makes an empty field null when loaded."""
 
     name: str
     valid: str | None = None
     reason: str | None = None
+    nullable: bool = False
 
 
 def _either(content: str) -> str:
@@ -105,11 +107,12 @@ def rejects(parsed: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def loaded(parsed: DataFrame, raw: str, schema: list[RowField], keep: list[str]) -> DataFrame:
-    """The valid rows with their fields as columns, unquoted; an empty bare field is null."""
+    """The valid rows with their fields as columns, unquoted; an empty field of a nullable column is null."""
     pattern = structure_pattern(schema)
     columns = []
     for k, f in enumerate(schema, 1):
         x = F.regexp_extract(raw, pattern, k)
         inner = F.replace(F.substr(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))
-        columns.append(F.when(x.startswith('"'), inner).when(x != "", x).alias(f.name))
+        value = F.when(x.startswith('"'), inner).otherwise(x)
+        columns.append((F.when(value != "", value) if f.nullable else value).alias(f.name))
     return parsed.where(F.size("_reasons") == 0).select(*keep, *columns)

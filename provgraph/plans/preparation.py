@@ -10,9 +10,13 @@ from provgraph.operators import multivalue, property_table, references, row_pars
 from provgraph.runtime import load
 
 VENDOR_ROW = [
-    *map(row_parse.RowField, ["LIFNR", "NAME1", "LAND1", "TIER", "DUNS"]),
+    row_parse.RowField("LIFNR"),
+    row_parse.RowField("NAME1"),
+    row_parse.RowField("LAND1", nullable=True),
+    row_parse.RowField("TIER"),
+    row_parse.RowField("DUNS", nullable=True),
     row_parse.number_field("QUALITY_RATING", "invalid_quality_rating"),
-    row_parse.RowField("CERTIFICATIONS"),
+    row_parse.RowField("CERTIFICATIONS", nullable=True),
 ]
 MATERIAL_ROW = [
     row_parse.alnum_field("MATNR", "invalid_matnr"),

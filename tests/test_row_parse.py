@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from provgraph.operators import row_parse as P
 from tests.conftest import rows
 
-SCHEMA = [P.alnum_field("K", "bad_k"), P.RowField("T"), P.enum_field("E", "bad_e", ["ONE", "TWO"]), P.number_field("N", "bad_n", not_negative=True)]
+SCHEMA = [P.alnum_field("K", "bad_k"), P.RowField("T", nullable=True), P.enum_field("E", "bad_e", ["ONE", "TWO"]), P.number_field("N", "bad_n", not_negative=True)]
 
 
 def parse(line):
