@@ -118,7 +118,18 @@ def _wide_column(name: str, value: str, multiple: bool) -> str:
     return f'arg_min({value}, struct_pack(o := ordinal, p := prop_row_id)) {mine} AS "{name}"'
 
 
+# Quoted spans are kept, separators elsewhere become one control character, which is split at.
+_CERTS = r"""p0 AS (SELECT line_no, regexp_replace(regexp_replace(trim(CERTIFICATIONS, E' \t\r\n'), '^[/+]', ''), '[/+]$', '') AS c FROM vendor_master WHERE CERTIFICATIONS IS NOT NULL),
+ p1 AS (SELECT line_no, CASE WHEN c LIKE '[%]' THEN from_json(c, '["VARCHAR"]') ELSE list_transform(string_split(array_to_string(list_transform(
+   regexp_extract_all(c, '"[^"]*(?:""[^"]*)*"|''[^'']*(?:''''[^'']*)*''|[^"'']+|["'']'),
+   lambda x: CASE WHEN length(x) > 1 AND x[1] IN ('"', '''') THEN x ELSE regexp_replace(x, '[|;,\t\r\n]|\s+[/+](?:\s+[/+])*\s+|\s[/+]$|^[/+]\s', chr(1), 'g') END), ''), chr(1)),
+   lambda x: CASE WHEN trim(x) LIKE '"%"' THEN replace(trim(x)[2:-2], '""', '"') WHEN trim(x) LIKE '''%''' THEN replace(trim(x)[2:-2], '''''', '''') ELSE x END) END AS l FROM p0),
+ p2 AS (SELECT line_no, list_filter(list_transform(l, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM p1),
+ certs AS (SELECT line_no, CAST(generate_subscripts(l, 1) - 1 AS INT) AS pos, unnest(l) AS cert FROM p2)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "p5_found": f"WITH {_CERTS} SELECT line_no, pos, cert FROM certs",
+    "p5_per_certificate": f"WITH {_CERTS} SELECT cert, count(*) AS n_rows, max(pos) AS max_pos FROM certs GROUP BY 1",
     "p3_found": f"WITH {_FAILING} SELECT src_table, ref_field, row_key, status, period FROM failing WHERE status IS NOT NULL",
     "p3_by_month": f"WITH {_FAILING} SELECT src_table, ref_field, status, period, count(*) AS n_failing FROM failing WHERE status IS NOT NULL GROUP BY ALL",
     "p4_found": _P4,
