@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from provgraph.functions.skew import hot_keys, salted_join
 from provgraph.functions.text import NUMBER, key, name_key, squeeze
-from provgraph.runtime import broadcast_if_small, cut
+from provgraph.runtime import broadcast_if_small, written_by
 
 #: Catalogs of at most so many rows are broadcast; larger ones are joined by shuffle.
 CATALOG_ROWS = 10_000
@@ -121,7 +121,11 @@ def _narrow(best: DataFrame, name: str, value_type: str, is_multiple: bool) -> D
 
 
 def _balanced(tables: list[DataFrame]) -> DataFrame:
-    """Full outer joins on object_id as a balanced tree: depth log2 of the number of tables."""
+    """Full outer joins on object_id as a balanced tree: depth log2 of the number of tables.
+
+    Each level is its own stage. A chain of co-partitioned joins would save the shuffles between the
+    levels, but then one task holds the buffers of all tables at once and runs out of memory.
+    """
     while len(tables) > 1:
         pairs = [tables[i : i + 2] for i in range(0, len(tables), 2)]
         tables = [p[0].join(p[1], "object_id", "full") if len(p) > 1 else p[0] for p in pairs]
@@ -136,8 +140,8 @@ def wide_table(typed: DataFrame, objects: DataFrame, catalog_rows: list[tuple[st
     smallest prop_row_id; a single-valued property takes the smallest ordinal. Multiple ones are
     lists by ordinal (nulls last; every such value stays). Objects without any readable property
     have a row of nulls. The best rows are chosen by an aggregate that combines before the shuffle
-    and written once; each attribute's narrow table is then co-partitioned by object_id, so the
-    outer joins need no further shuffle.
+    and written partitioned by attribute, so that each narrow table reads its own part only; they
+    are partitioned by object_id and joined as a balanced tree.
     """
     order = F.struct(
         F.coalesce("confidence", F.lit(-1)), F.coalesce(F.unix_micros("extracted_at"), F.lit(-(2**62))), -F.col("prop_row_id")
@@ -148,7 +152,6 @@ def wide_table(typed: DataFrame, objects: DataFrame, catalog_rows: list[tuple[st
         .agg(F.max_by(F.struct("prop_row_id", "text", "num", "flag", "at"), order).alias("v"))
         .select("object_id", "property", "ordinal", "v.*")
     )
-    n = int(typed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    best = cut(best).repartition(n, "object_id")
+    best = written_by(best, "property")
     ids = objects.select(key(F.col("id")).alias("object_id")).where(F.col("object_id").isNotNull()).distinct()
     return _balanced([ids, *(_narrow(best, *row) for row in catalog_rows)])

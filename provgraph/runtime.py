@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -35,13 +36,10 @@ def ship(spark: SparkSession) -> None:
     sc._provgraph_shipped = True
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` and cut its lineage with a reliable checkpoint.
-
-    The folder is the one in spark.checkpoint.dir, which all executors share. Only where that is
-    unset and the master is local (tests, a laptop) a temporary folder is made.
-    """
-    sc = df.sparkSession.sparkContext
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: that of spark.checkpoint.dir. Only where it is unset and
+    the master is local (tests, a laptop) a temporary folder is made."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder:
@@ -49,9 +47,23 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix=f"provgraph-{os.getpid()}-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise `df` and cut its lineage with a reliable checkpoint."""
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written_by(df: DataFrame, column: str) -> DataFrame:
+    """`df` written to the shared folder as a table partitioned by `column`, and read from there: a
+    filter on the column then reads only its part."""
+    path = f"{_checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(column).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """`df` with a broadcast hint if it has at most `max_rows` rows (checked by a count that stops
     there), else unchanged, so that the planner joins by shuffle."""
