@@ -111,20 +111,21 @@ def typed_properties(
 
 
 def _narrow(best: DataFrame, name: str, value_type: str, is_multiple: bool) -> DataFrame:
-    """The typed table of one attribute: object_id and a column `name`."""
+    """The typed table of one attribute: object_id (once) and a column `name`."""
     value = {"STRING": "text", "NUMBER": "num", "BOOLEAN": "flag", "TIMESTAMP": "at"}[value_type]
     rows = best.where(F.col("property") == name)
-    if is_multiple:
-        listed = F.sort_array(F.collect_list(F.struct("ordinal", "prop_row_id", value)))
-        return rows.groupBy("object_id").agg(F.transform(listed, lambda x: x[value]).alias(name))
-    return rows.groupBy("object_id").agg(F.min_by(value, F.struct("ordinal", "prop_row_id")).alias(name))
+    if not is_multiple:
+        return rows.select("object_id", F.col(value).alias(name))
+    listed = F.sort_array(F.collect_list(F.struct("ordinal", "prop_row_id", value)))
+    return rows.groupBy("object_id").agg(F.transform(listed, lambda x: x[value]).alias(name))
 
 
 def _balanced(tables: list[DataFrame]) -> DataFrame:
     """Full outer joins on object_id as a balanced tree: depth log2 of the number of tables.
 
-    Each level is its own stage. A chain of co-partitioned joins would save the shuffles between the
-    levels, but then one task holds the buffers of all tables at once and runs out of memory.
+    Each level is its own stage. A chain of co-partitioned left joins would save shuffles between
+    the levels, but then one task holds the buffers of many tables at once; on executors of 3 GB
+    that ran out of memory with three tables a stage already.
     """
     while len(tables) > 1:
         pairs = [tables[i : i + 2] for i in range(0, len(tables), 2)]
@@ -135,23 +136,30 @@ def _balanced(tables: list[DataFrame]) -> DataFrame:
 def wide_table(typed: DataFrame, objects: DataFrame, catalog_rows: list[tuple[str, str, bool]]) -> DataFrame:
     """One row per object with a column of the declared type for each property.
 
-    `catalog_rows`: (property, value_type, is_multiple), one per property name. For each (object,
+    `catalog_rows`: (property, value_type, is_multiple), one per property name; those of one object
+    type beside each other keep the joined tables small. For each (object,
     property, ordinal) the row with the highest confidence comes first, then the latest, then the
-    smallest prop_row_id; a single-valued property takes the smallest ordinal. Multiple ones are
+    smallest prop_row_id; a single-valued property takes the smallest ordinal (null last). Multiple ones are
     lists by ordinal (nulls last; every such value stays). Objects without any readable property
     have a row of nulls. The best rows are chosen by an aggregate that combines before the shuffle
     and written partitioned by attribute, so that each narrow table reads its own part only; they
     are partitioned by object_id and joined as a balanced tree.
     """
+    multiple = F.col("property").isin([name for name, _, is_multiple in catalog_rows if is_multiple])
+    # Of a single-valued property the smallest ordinal comes first; of a list each has its own row.
+    slot = F.when(multiple, F.col("ordinal"))
     order = F.struct(
-        F.coalesce("confidence", F.lit(-1)), F.coalesce(F.unix_micros("extracted_at"), F.lit(-(2**62))), -F.col("prop_row_id")
-    )
+        F.when(multiple, 0).otherwise(F.coalesce(-F.col("ordinal"), F.lit(-(2**31)))), F.coalesce("confidence", F.lit(-1)),
+        F.coalesce(F.unix_micros("extracted_at"), F.lit(-(2**62))), -F.col("prop_row_id"),
+    )
     best = (
         typed.where(F.col("state") == "ok")
-        .groupBy("object_id", "property", "ordinal")
+        .groupBy("object_id", "property", slot.alias("ordinal"))
         .agg(F.max_by(F.struct("prop_row_id", "text", "num", "flag", "at"), order).alias("v"))
         .select("object_id", "property", "ordinal", "v.*")
     )
     best = written_by(best, "property")
     ids = objects.select(key(F.col("id")).alias("object_id")).where(F.col("object_id").isNotNull()).distinct()
-    return _balanced([ids, *(_narrow(best, *row) for row in catalog_rows)])
+    narrow = [_narrow(best, *row) for row in catalog_rows]
+    # The objects come in at the root only, so that their keys aren't carried through the levels.
+    return ids.join(_balanced(narrow), "object_id", "left") if narrow else ids

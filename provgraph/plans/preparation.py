@@ -103,10 +103,10 @@ def p7_wide(spark: SparkSession, d: str) -> DataFrame:
     catalog = (
         load(spark, d, "property_catalog")
         .groupBy("property_name")
-        .agg(F.min(F.upper("value_type")).alias("t"), F.max("is_multiple").alias("m"))
-        .orderBy("property_name")
+        .agg(F.min(F.upper("value_type")).alias("t"), F.max("is_multiple").alias("m"), F.min("object_type").alias("o"))
+        .orderBy("o", "property_name")
     )
-    rows = [tuple(r) for r in catalog.collect()]
+    rows = [tuple(r)[:3] for r in catalog.collect()]
     wide = property_table.wide_table(typed(spark, d), load(spark, d, "objects"), rows)
     lists = [n for n, _, multiple in rows if multiple]
     return wide.withColumns({n: F.to_json(n) for n in lists})
