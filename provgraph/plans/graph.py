@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,6 +136,19 @@ def b7_explode_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return back.groupBy("property_name").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("confidence").cast("decimal(20,3)").alias("sum_confidence"))
 
 
+def b7_explode_all_types(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of every object type that goes through the wide form and comes back, lists with all ordinals."""
+    rows, objects = _clean_rows(spark, d), _domain(spark, d)[0]
+    parts = [tracked.explode_objects(tracked.assemble_objects(rows, objects, t), t).withColumn("object_type", F.lit(t)) for t in model.OBJECT_TYPES]
+    number = F.col("value_type") == "NUMBER"
+    # JSON has no infinity and no NaN: those come back as JSON strings.
+    return reduce(DataFrame.unionByName, parts).select(
+        "object_type", "object_id", "property_name", "ordinal", "value_type", F.when(~number, F.col("value")).alias("value"),
+        F.when(number, F.btrim("value", F.lit('"')).try_cast("double")).alias("number"), "confidence", "source_system", "source_record_id",
+        "pipeline_run_id", "extracted_at", "method", "verified_by", "verified_at",
+    )
+
+
 def b14_review_queue(spark: SparkSession, d: str) -> DataFrame:
     _, rows, links = _domain(spark, d)
     return tracked.review_queue(rows, links, 0.5).select("fact", "fact_key", "confidence", "method")
@@ -267,7 +282,7 @@ QUERIES = {
     for f in (
         c1_supplier_device_risk_one, a19_risk_report, d1_supplier_device_risk_all, d1_bottleneck_site_exposure, c1_supplier_site_exposure_one,
         c1_part_suppliers, c1_co_suppliers_one, c1_event_device_impact, d3_weakest_step_histogram, d8_shared_prefix,
-        b3_links_per_object, b3_links_of_one, b1_assemble_devices, b1_assemble_suppliers, b7_explode_round_trip,
+        b3_links_per_object, b3_links_of_one, b1_assemble_devices, b1_assemble_suppliers, b7_explode_round_trip, b7_explode_all_types,
         b14_review_queue, b16_touched_by_run, d12_calibration, d7_least_upsert, c6_insert_absent, c3_resolve_sources,
         c7_differences, d5_tallies, b18_rejects, c4_skipped_links, b20_links, h9_object_ids, h2_legal_names, h5_confidences,
         h6_certifications, l_property_violations, l_link_violations, l_object_violations, l6_repeated_edges,
