@@ -178,6 +178,19 @@ def d7_least_upsert(spark: SparkSession, d: str) -> DataFrame:
     return tracked.least_upsert(runs[0], runs[1])
 
 
+def d7_least_upsert_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs over suppliers and 25 families of parts, split by return flag, so that old and new rows meet in most keys."""
+    line = load(spark, d, "lineitem")
+    run = F.when(F.col("l_returnflag") == "N", 1).otherwise(0)
+    rows = line.select(
+        F.lit("SUPPLIES").alias("link_type"), F.col("l_suppkey").alias("from_id"), (F.col("l_partkey") % 25).alias("to_id"),
+        F.round(F.lit(0.4) + F.col("l_discount"), 3).cast("decimal(4,3)").alias("confidence"),
+        F.concat_ws(":", F.concat(F.lit("run-"), run.cast("string")), "l_orderkey", "l_linenumber").alias("source_record_id"),
+        (F.col("l_orderkey").cast("long") * 8 + F.col("l_linenumber") + run.cast("long") * F.lit(2**50)).alias("seq"), run.alias("run"),
+    )
+    return tracked.least_upsert(rows.where("run = 0").drop("run"), rows.where("run = 1").drop("run"))
+
+
 def c6_insert_absent(spark: SparkSession, d: str) -> DataFrame:
     parts = load(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("v"))
     used = load(spark, d, "lineitem").select((F.col("l_partkey") * 3).alias("k"), F.col("l_returnflag").alias("v"))
@@ -283,7 +296,7 @@ QUERIES = {
         c1_supplier_device_risk_one, a19_risk_report, d1_supplier_device_risk_all, d1_bottleneck_site_exposure, c1_supplier_site_exposure_one,
         c1_part_suppliers, c1_co_suppliers_one, c1_event_device_impact, d3_weakest_step_histogram, d8_shared_prefix,
         b3_links_per_object, b3_links_of_one, b1_assemble_devices, b1_assemble_suppliers, b7_explode_round_trip, b7_explode_all_types,
-        b14_review_queue, b16_touched_by_run, d12_calibration, d7_least_upsert, c6_insert_absent, c3_resolve_sources,
+        b14_review_queue, b16_touched_by_run, d12_calibration, d7_least_upsert, d7_least_upsert_overlap, c6_insert_absent, c3_resolve_sources,
         c7_differences, d5_tallies, b18_rejects, c4_skipped_links, b20_links, h9_object_ids, h2_legal_names, h5_confidences,
         h6_certifications, l_property_violations, l_link_violations, l_object_violations, l6_repeated_edges,
         l7_repeated_property_keys, l10_many_to_one, l11_missing_targets, l11_wrong_end_types, l18_cardinality,

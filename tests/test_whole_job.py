@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from provgraph import model
@@ -18,3 +19,12 @@ def test_round_trip_of_all_types_and_lists(spark):
     assert {r.value_type for r in got} == set(model.VALUE_TYPES)
     lists = {p.name for t in model.OBJECT_TYPES.values() for p in t.properties if p.multiple}
     assert {r.property_name for r in got if r.ordinal > 0} <= lists and max(r.ordinal for r in got) > 0
+
+
+def test_upsert_updates_keys_across_runs(spark):
+    line = spark.read.parquet(f"{TINY}/lineitem.parquet")
+    keys = line.groupBy("l_suppkey", F.col("l_partkey") % 25).agg(F.bool_or(F.col("l_returnflag") == "N").alias("new"), F.bool_or(F.col("l_returnflag") != "N").alias("old"))
+    got = entry.queries()["d7_least_upsert_overlap"](spark, TINY)
+    assert got.count() == keys.count() and keys.where("old and new").count() > 0.9 * keys.count()
+    # The newer run's evidence is taken, the least confidence of both.
+    assert got.where(F.col("source_record_id").startswith("run-1:")).count() == keys.where("new").count()
