@@ -126,6 +126,21 @@ def b1_assemble_suppliers(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def b1_assemble_all_types(spark: SparkSession, d: str) -> DataFrame:
+    """One row per object of every type with all declared properties and their confidences; lists as JSON arrays."""
+    rows, objects = _clean_rows(spark, d), _domain(spark, d)[0]
+    text = lambda c: c.cast("string")
+    parts = []
+    for t in model.OBJECT_TYPES.values():
+        columns = []
+        for p in t.properties:
+            c = F.col(p.name)
+            pick = lambda f, c=c, p=p: F.to_json(F.transform(c, lambda x: text(x[f])), {"ignoreNullFields": "false"}) if p.multiple else c[f]
+            columns += [pick("value").alias(f"{t.name}_{p.name}"), pick("confidence").alias(f"{t.name}_{p.name}_confidence")]
+        parts.append(tracked.assemble_objects(rows, objects, t.name).select(F.lit(t.name).alias("object_type"), "id", *columns))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def b7_explode_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Rows of the sites and devices that go through the wide form and come back."""
     rows, objects = _clean_rows(spark, d), _domain(spark, d)[0]
@@ -295,7 +310,7 @@ QUERIES = {
     for f in (
         c1_supplier_device_risk_one, a19_risk_report, d1_supplier_device_risk_all, d1_bottleneck_site_exposure, c1_supplier_site_exposure_one,
         c1_part_suppliers, c1_co_suppliers_one, c1_event_device_impact, d3_weakest_step_histogram, d8_shared_prefix,
-        b3_links_per_object, b3_links_of_one, b1_assemble_devices, b1_assemble_suppliers, b7_explode_round_trip, b7_explode_all_types,
+        b3_links_per_object, b3_links_of_one, b1_assemble_devices, b1_assemble_suppliers, b1_assemble_all_types, b7_explode_round_trip, b7_explode_all_types,
         b14_review_queue, b16_touched_by_run, d12_calibration, d7_least_upsert, d7_least_upsert_overlap, c6_insert_absent, c3_resolve_sources,
         c7_differences, d5_tallies, b18_rejects, c4_skipped_links, b20_links, h9_object_ids, h2_legal_names, h5_confidences,
         h6_certifications, l_property_violations, l_link_violations, l_object_violations, l6_repeated_edges,

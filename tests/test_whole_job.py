@@ -28,3 +28,12 @@ def test_upsert_updates_keys_across_runs(spark):
     assert got.count() == keys.count() and keys.where("old and new").count() > 0.9 * keys.count()
     # The newer run's evidence is taken, the least confidence of both.
     assert got.where(F.col("source_record_id").startswith("run-1:")).count() == keys.where("new").count()
+
+
+def test_all_types_are_assembled_with_all_properties(spark):
+    got = entry.queries()["b1_assemble_all_types"](spark, TINY)
+    names = {f"{t.name}_{p.name}" for t in model.OBJECT_TYPES.values() for p in t.properties}
+    assert names | {f"{n}_confidence" for n in names} | {"object_type", "id"} == set(got.columns)
+    found = got.collect()
+    assert {r.object_type for r in found} == set(model.OBJECT_TYPES)
+    assert any(r.SUPPLIER_aliases not in (None, "[]") for r in found) and all(r.SUPPLIER_mergedFrom is not None for r in found if r.object_type == "SUPPLIER")
