@@ -116,7 +116,7 @@ def _narrow(best: DataFrame, name: str, value_type: str, is_multiple: bool) -> D
     rows = best.where(F.col("property") == name)
     if not is_multiple:
         return rows.select("object_id", F.col(value).alias(name))
-    listed = F.sort_array(F.collect_list(F.struct("ordinal", "prop_row_id", value)))
+    listed = F.sort_array(F.collect_list(F.struct(F.col("ordinal").isNull().alias("_last"), "ordinal", "prop_row_id", value)))
     return rows.groupBy("object_id").agg(F.transform(listed, lambda x: x[value]).alias(name))
 
 
@@ -146,15 +146,17 @@ def wide_table(typed: DataFrame, objects: DataFrame, catalog_rows: list[tuple[st
     are partitioned by object_id and joined as a balanced tree.
     """
     multiple = F.col("property").isin([name for name, _, is_multiple in catalog_rows if is_multiple])
-    # Of a single-valued property the smallest ordinal comes first; of a list each has its own row.
+    # Of a single-valued property the smallest ordinal comes first; of a list each has its own row,
+    # and so has each row without an ordinal.
     slot = F.when(multiple, F.col("ordinal"))
+    unplaced = F.when(multiple & F.col("ordinal").isNull(), F.col("prop_row_id"))
     order = F.struct(
         F.when(multiple, 0).otherwise(F.coalesce(-F.col("ordinal"), F.lit(-(2**31)))), F.coalesce("confidence", F.lit(-1)),
         F.coalesce(F.unix_micros("extracted_at"), F.lit(-(2**62))), -F.col("prop_row_id"),
     )
     best = (
         typed.where(F.col("state") == "ok")
-        .groupBy("object_id", "property", slot.alias("ordinal"))
+        .groupBy("object_id", "property", slot.alias("ordinal"), unplaced.alias("_unplaced"))
         .agg(F.max_by(F.struct("prop_row_id", "text", "num", "flag", "at"), order).alias("v"))
         .select("object_id", "property", "ordinal", "v.*")
     )

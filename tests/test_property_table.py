@@ -59,3 +59,9 @@ def test_empty(spark):
     t = typed(spark, [], [])
     assert t.count() == 0
     assert T.wide_table(t, spark.createDataFrame([], "id string"), [("name", "STRING", False)]).count() == 0
+
+
+def test_every_value_of_a_list_without_ordinal_stays_and_is_last(spark):
+    values = [("o1", "tags", None, '"n1"'), ("o1", "tags", 1, '"y"'), ("o1", "tags", None, '"n2"'), ("o1", "tags", 0, '"x"'), ("o1", "tags", None, '"n1"')]
+    got = T.wide_table(typed(spark, values), spark.createDataFrame([("o1",)], "id string"), [("tags", "STRING", True)]).collect()
+    assert [r.tags for r in got] == [["x", "y", "n1", "n2", "n1"]]
