@@ -296,6 +296,19 @@ def l11_missing_targets(spark: SparkSession, d: str) -> DataFrame:
     return constraints.missing_targets(load(spark, d, "links"), "to_id", load(spark, d, "objects"), "id").select("id", "to_id")
 
 
+def l11_missing_references(spark: SparkSession, d: str) -> DataFrame:
+    """Properties and both ends of links that name an object that isn't there, with the field."""
+    links, rows, objects = load(spark, d, "links"), load(spark, d, "object_properties"), load(spark, d, "objects")
+    fields = [("links", links, "id", "from_id"), ("links", links, "id", "to_id"), ("object_properties", rows, "prop_row_id", "object_id")]
+    parts = [
+        constraints.missing_targets(df.select(k, c), c, objects, "id").select(
+            F.lit(f"{table}.{c}").alias("field"), F.col(k).cast("string").alias("row_key"), F.col(c).alias("target")
+        )
+        for table, df, k, c in fields
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def l11_wrong_end_types(spark: SparkSession, d: str) -> DataFrame:
     return constraints.wrong_end_types(load(spark, d, "links"), load(spark, d, "objects"))
 
@@ -314,6 +327,6 @@ QUERIES = {
         b14_review_queue, b16_touched_by_run, d12_calibration, d7_least_upsert, d7_least_upsert_overlap, c6_insert_absent, c3_resolve_sources,
         c7_differences, d5_tallies, b18_rejects, c4_skipped_links, b20_links, h9_object_ids, h2_legal_names, h5_confidences,
         h6_certifications, l_property_violations, l_link_violations, l_object_violations, l6_repeated_edges,
-        l7_repeated_property_keys, l10_many_to_one, l11_missing_targets, l11_wrong_end_types, l18_cardinality,
+        l7_repeated_property_keys, l10_many_to_one, l11_missing_targets, l11_missing_references, l11_wrong_end_types, l18_cardinality,
     )
 }

@@ -37,3 +37,12 @@ def test_all_types_are_assembled_with_all_properties(spark):
     found = got.collect()
     assert {r.object_type for r in found} == set(model.OBJECT_TYPES)
     assert any(r.SUPPLIER_aliases not in (None, "[]") for r in found) and all(r.SUPPLIER_mergedFrom is not None for r in found if r.object_type == "SUPPLIER")
+
+
+def test_missing_references_of_all_fields(spark, tmp_path):
+    write = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    write("objects", [("a",), ("b",)], "id string")
+    write("links", [("l1", "x", "a"), ("l2", "a", "y"), ("l3", "a", "b"), ("l4", None, "b")], "id string, from_id string, to_id string")
+    write("object_properties", [(1, "a"), (2, "z"), (3, None)], "prop_row_id long, object_id string")
+    got = sorted(tuple(r) for r in entry.queries()["l11_missing_references"](spark, str(tmp_path)).collect())
+    assert got == [("links.from_id", "l1", "x"), ("links.to_id", "l2", "y"), ("object_properties.object_id", "2", "z")]
