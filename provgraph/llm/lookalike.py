@@ -275,5 +275,5 @@ def same_looking_pairs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     members = salted_join(rows, mixed.select("plain"), ["plain"], "doc", hot)
     left = members.select(F.col("doc").alias("doc_id_a"), F.col("raw").alias("raw_a"), "plain")
     right = members.select(F.col("doc").alias("doc_id_b"), F.col("raw").alias("raw_b"), "plain")
-    pairs = salted_join(left, right, ["plain"], "doc_id_a", hot, salts=12)
+    pairs = salted_join(left, right, ["plain"], "doc_id_a", hot)
     return pairs.where("doc_id_a < doc_id_b and raw_a <> raw_b").select("doc_id_a", "doc_id_b")

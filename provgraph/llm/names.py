@@ -275,7 +275,7 @@ def name_links(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     left = full.withColumn("key", F.explode("prefix"))
     right = left.select(*(F.col(c).alias(f"{c}_b") for c in left.columns if c not in ("key", "line")), "key")
     hot = hot_keys(left, ["key"])
-    pairs = salted_join(left, right, ["key"], "sig", hot, salts=6).where(F.col("sig") < F.col("sig_b"))
+    pairs = salted_join(left, right, ["key"], "sig", hot).where(F.col("sig") < F.col("sig_b"))
     shared = F.size(F.array_intersect("set", "set_b"))
     alike = shared / (F.size("set") + F.size("set_b") - shared) >= CANDIDATE
     # A pair meets at each gram that both prefixes hold; it is taken at the first one only.
@@ -313,5 +313,5 @@ def same_entities(vendors: DataFrame, number: str, name: str) -> DataFrame:
     groups = groups.join(merged, "group_id", "left").select("id", F.coalesce("merged", "group_id").alias("group_id"))
     numbers = cut(groups.where(F.col("id").startswith("n:")).select(F.substr("id", F.lit(3)).alias("num"), "group_id"))
     other = numbers.select(F.col("num").alias("lifnr_b"), "group_id")
-    joined = salted_join(numbers.withColumnRenamed("num", "lifnr_a"), other, ["group_id"], "lifnr_a", hot_keys(numbers, ["group_id"]), salts=6)
+    joined = salted_join(numbers.withColumnRenamed("num", "lifnr_a"), other, ["group_id"], "lifnr_a", hot_keys(numbers, ["group_id"]))
     return joined.where(F.col("lifnr_a") < F.col("lifnr_b")).select("lifnr_a", "lifnr_b")
