@@ -32,7 +32,8 @@ def salting(monkeypatch):
     """Any key with two rows is hot, so that the salted plans run on small data."""
     from provgraph.functions import skew
 
-    monkeypatch.setattr(skew, "HOT_ROWS", 2)
+    monkeypatch.setattr(skew, "HOT_ROWS", 1)
+    monkeypatch.setattr(skew, "ROWS_PER_BLOCK", 2)
 
 
 def day(n: int) -> dt.datetime:
