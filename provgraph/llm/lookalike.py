@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provgraph.functions.skew import hot_keys, salted_join
+from provgraph.functions.skew import grid_join, hot_keys, pairs_within, salted_join
 from provgraph.runtime import cut, ship
 
 _CATEGORY_OF = {"Lu": "A", "Lt": "A", "Ll": "a", "Lm": "a", "Lo": "a", "Nd": "0", "Nl": "0", "No": "0"}
@@ -65,13 +65,17 @@ def look_alike_pairs(spark: SparkSession) -> list[tuple[str, str]]:
     skeletons = checker.getSkeleton("\n".join(both)).split("\n")
     if len(skeletons) != len(both):
         skeletons = [checker.getSkeleton(ch) for ch in both]
+    skeleton_of = dict(zip(both, skeletons, strict=True))
     plain: dict[str, list[str]] = {}
     for ch, skeleton in zip(ascii_chars, skeletons, strict=False):
         plain.setdefault(skeleton, []).append(ch)
     pairs: list[tuple[str, str]] = []
     for ch, skeleton in zip(points, skeletons[len(ascii_chars) :], strict=False):
         decomposed = unicodedata.normalize("NFKD", ch)
-        if decomposed != ch and not any(blank(c) or invisible(c) for c in decomposed):
+        # What is decomposed to another character than the one it looks like (a lunate sigma looks like
+        # c, not like a final sigma) is taken for the latter.
+        misled = decomposed != ch and len(decomposed) == 1 and not decomposed.isascii() and skeleton in plain and skeleton_of.get(decomposed) != skeleton
+        if decomposed != ch and not misled and not any(blank(c) or invisible(c) for c in decomposed):
             canonical = unicodedata.normalize("NFD", ch)
             # Raised and lowered forms can be told apart from the plain ones.
             if canonical != ch or not re.match(r"<(super|sub|fraction|square|circle)>", unicodedata.decomposition(ch)):
@@ -126,14 +130,9 @@ def classes(pairs: list[tuple[str, str]], frequency: dict[str, int]) -> dict[str
     for group in members.values():
         best = min(group, key=lambda s: (not s.isascii(), -frequency.get(s, 0), len(s), s))
         table.update({s: best for s in group if s != best})
-    # A representative may hold look-alikes itself (a decomposed letter whose base is one).
     decomposed = {}
     for s, rep in table.items():
-        for _ in range(4):
-            new = "".join(table.get(c, c) for c in rep)
-            if new == rep:
-                break
-            rep = new
+        rep = _settled(rep, table)
         # Texts are decomposed before they are rewritten, so only decomposed strings are met.
         s, rep = unicodedata.normalize("NFD", s), unicodedata.normalize("NFD", rep)
         if s != rep and not any(c.isspace() for c in s):
@@ -141,6 +140,16 @@ def classes(pairs: list[tuple[str, str]], frequency: dict[str, int]) -> dict[str
     return decomposed
 
 
+def _settled(rep: str, table: dict[str, str]) -> str:
+    """`rep`, which may hold look-alikes itself (a decomposed letter whose base is one), rewritten
+    until nothing changes. Forms that lead back to each other end at the smallest of them."""
+    seen: list[str] = []
+    while rep not in seen:
+        seen.append(rep)
+        rep = "".join(table.get(c, c) for c in rep)
+    return min(seen[seen.index(rep) :])
+
+
 @lru_cache(maxsize=1)
 def _unseen() -> dict[int, str | None]:
     """For str.translate: invisible characters out, any blank as a blank."""
@@ -244,13 +253,15 @@ def plain_texts(docs: DataFrame, doc_id: str, text: str, rewriter: Rewriter) ->
     return docs.select(doc_id, text).mapInPandas(rewrite, f"{doc_id} long, plain string")
 
 
-def same_looking_pairs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id_a, doc_id_b), smaller first: pairs whose texts differ as stored but look the same.
+def same_looking_classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, text_id, class_id): the documents whose text looks like a differently stored one.
 
-    Each document is reduced to 128-bit digests of its plain and its stored text; only classes of
-    equal plain digests with at least two different stored texts go on, hot classes salted.
-    Byte-equal copies are no pair. Null texts are in no pair; empty text looks like text of
-    invisible characters only.
+    text_id is the smallest document with the same stored text, class_id the smallest one that looks
+    the same. This is the compact form of `same_looking_pairs`: as many rows as documents, whatever
+    the number of copies. Each document is reduced to 128-bit digests of its plain and its stored
+    text; only classes of equal plain digests with at least two different stored texts go on.
+    Null texts are in no class; empty text looks like text of invisible characters only. Document
+    ids tell the documents; repeated rows count once.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(plain_form_rewriter(docs, text))
@@ -269,11 +280,24 @@ def same_looking_pairs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows = docs.select(doc_id, text).where(F.col(text).isNotNull())
     rows = cut(rows.mapInPandas(digests, "doc long, raw binary, plain binary"))
     mixed = rows.groupBy("plain").agg(
-        F.min("raw").alias("low"), F.max("raw").alias("high"), F.count(F.lit(1)).alias("n")
-    ).where("low <> high")
-    hot = hot_keys(mixed, ["plain"], "n")
-    members = salted_join(rows, mixed.select("plain"), ["plain"], "doc", hot)
-    left = members.select(F.col("doc").alias("doc_id_a"), F.col("raw").alias("raw_a"), "plain")
-    right = members.select(F.col("doc").alias("doc_id_b"), F.col("raw").alias("raw_b"), "plain")
-    pairs = salted_join(left, right, ["plain"], "doc_id_a", hot)
-    return pairs.where("doc_id_a < doc_id_b and raw_a <> raw_b").select("doc_id_a", "doc_id_b")
+        F.min("raw").alias("low"), F.max("raw").alias("high"), F.count(F.lit(1)).alias("n"), F.min("doc").alias("class_id")
+    ).where("low <> high").select("plain", "class_id", "n")
+    members = cut(salted_join(rows, mixed.drop("n"), ["plain"], "doc", hot_keys(mixed, ["plain"], "n")).select("doc", "raw", "class_id").distinct())
+    # Equal stored texts have equal plain ones, so the stored text alone tells the copies.
+    copies = members.groupBy("raw").agg(F.min("doc").alias("text_id"), F.count(F.lit(1)).alias("n"))
+    named = salted_join(members, copies.drop("n"), ["raw"], "doc", hot_keys(copies, ["raw"], "n"))
+    return named.select(F.col("doc").alias("doc_id"), "text_id", "class_id")
+
+
+def same_looking_pairs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id_a, doc_id_b), smaller first: pairs whose texts differ as stored but look the same.
+
+    Different texts of a class are paired once and their copies put in afterwards, so byte-equal
+    copies, which are no pair, are never compared with each other.
+    """
+    members = cut(same_looking_classes(docs, doc_id, text))
+    texts = pairs_within(members.select("class_id", "text_id").distinct(), ["class_id"], "text_id", F.lit(True))
+    doc = lambda name, key: members.select(F.col("text_id").alias(key), F.col("doc_id").alias(name))
+    half = grid_join(texts.select("text_id_a", "text_id_b"), doc("a", "text_id_a"), ["text_id_a"], "text_id_b", "a")
+    both = grid_join(half.select("a", "text_id_b"), doc("b", "text_id_b"), ["text_id_b"], "a", "b")
+    return both.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b"))

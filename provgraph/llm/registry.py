@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from provgraph.functions.text import key
 from provgraph.llm.components import components
 from provgraph.llm.leakage import leaked_items
-from provgraph.llm.lookalike import Rewriter, classes, look_alike_pairs, plain_form_rewriter, plain_texts, same_looking_pairs
+from provgraph.llm.lookalike import Rewriter, classes, look_alike_pairs, plain_form_rewriter, plain_texts, same_looking_classes, same_looking_pairs
 from provgraph.llm.names import same_entities
 from provgraph.llm.packing import pack, packing_report, token_counts
 from provgraph.llm.sql import ORACLE_SQL as ORACLE_SQL
@@ -69,6 +69,11 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return same_looking_pairs(load(spark, d, "documents"), "doc_id", "text")
 
 
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The compact form of p10_found: one row per document of a class."""
+    return same_looking_classes(load(spark, d, "documents"), "doc_id", "text")
+
+
 def p10_plain_texts(spark: SparkSession, d: str) -> DataFrame:
     docs = load(spark, d, "documents")
     plain = plain_texts(docs, "doc_id", "text", plain_form_rewriter(docs, "text"))
@@ -77,5 +82,5 @@ def p10_plain_texts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_group_sizes, p2_found, p6_found, p8_containers, p8_report, p9_found, p9_leaks_per_suite, p10_found, p10_plain_texts)
+    for f in (p1_found, p1_group_sizes, p2_found, p6_found, p8_containers, p8_report, p9_found, p9_leaks_per_suite, p10_found, p10_classes, p10_plain_texts)
 }

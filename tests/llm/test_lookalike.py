@@ -13,6 +13,7 @@ SAME = [
     ("Hello", "Ｈеllо"), ("file", "ﬁle"), ("a b", "a b"), ("a b", "a b"), ("a b", "a\tb"), ("word", "w​o­rd﻿"),
     ("é", "é"), ("co-op", "co‐op"), ("co-op", "co‑op"), ("Room 101", "Ｒoom １０１"), ("I", "Ι"), ("l", "ⅼ"), ("O", "О"), ("ǖ", "ǖ"),
     ("ἀ", "ἀ"), ("offer", "oﬀer"), ("ABC", "𝐀𝐁𝐂"),
+    ("c", "ϲ"), ("C", "Ϲ"),
 ]
 DIFFERENT = [("e", "é"), ("o", "ö"), ("l", "1"), ("O", "0"), ("I", "l"), ("rn", "m"), ("a b", "ab"), ("a b", "a\nb"), ("x2", "x²"), ("a", "A"), ("й", "и"), ("", " ")]
 
@@ -53,6 +54,31 @@ def test_pairs(spark, salting):
     assert got == [(0, 1), (0, 2), (1, 2), (1, 3), (2, 3), (7, 8), (8, 9)]
 
 
+@pytest.mark.parametrize("hot", [True, False])
+def test_classes_and_copies(spark, request, hot):
+    if hot:
+        request.getfixturevalue("salting")
+    texts = ["Same text"] * 4 + ["Ѕame text"] * 3 + ["Sаme text", "lone", "lone"]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc_id long, text string")
+    assert rows(L.same_looking_classes(docs, "doc_id", "text")) == [(i, 0 if i < 4 else 4 if i < 7 else 7, 0) for i in range(8)]
+    want = [(a, b) for a in range(8) for b in range(a + 1, 8) if texts[a] != texts[b]]
+    assert rows(L.same_looking_pairs(docs, "doc_id", "text")) == want
+
+
+def test_one_variant_of_many_copies(spark):
+    """50,000 byte-equal copies and one disguised one: 50,000 pairs, and copies aren't compared with each other."""
+    many = spark.range(50_000).selectExpr("id AS doc_id", "'Same text' AS text")
+    docs = many.unionByName(spark.createDataFrame([(50_000, "Ѕame text")], "doc_id long, text string"))
+    got = L.same_looking_pairs(docs, "doc_id", "text")
+    assert got.count() == 50_000 and got.where("doc_id_b <> 50000").isEmpty()
+
+
+def test_representatives_settle():
+    chain = {chr(0x3B1 + i): chr(0x3B1 + i + 1) for i in range(8)}
+    assert L._settled("α", chain) == "ι"
+    assert L._settled("α", {"α": "β", "β": "α"}) == "α"
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert rows(L.same_looking_pairs(docs, "doc_id", "text")) == []
