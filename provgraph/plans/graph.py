@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -235,11 +236,31 @@ def d5_tallies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def b18_rejects(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.Plan(_bundle(spark, d)).rejects()
+    return ingest.Plan(_bundle(spark, d)).rejects().drop("message")
+
+
+def b18_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Every rejected row and skipped link with its message."""
+    plan = ingest.Plan(_bundle(spark, d))
+    return plan.rejects().unionByName(plan.skipped())
+
+
+def d6_accepted_counts(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.Plan(_bundle(spark, d)).accepted_counts()
+
+
+def b19_property_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The property rows that all accepted rows become; numbers in a column of their own, as texts of numbers differ."""
+    rows = ingest.Plan(_bundle(spark, d)).property_rows("run-1", dt.datetime(2026, 1, 15, 9, 30))
+    is_number = F.col("value_type") == "NUMBER"
+    return rows.select(
+        "object_id", "property_name", "ordinal", F.when(~is_number, F.col("value")).alias("value"),
+        F.when(is_number, F.col("value").try_cast("double")).alias("num"), "source_record_id",
+    )
 
 
 def c4_skipped_links(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.Plan(_bundle(spark, d)).skipped()
+    return ingest.Plan(_bundle(spark, d)).skipped().drop("message")
 
 
 def b20_links(spark: SparkSession, d: str) -> DataFrame:
@@ -325,7 +346,7 @@ QUERIES = {
         c1_part_suppliers, c1_co_suppliers_one, c1_event_device_impact, d3_weakest_step_histogram, d8_shared_prefix,
         b3_links_per_object, b3_links_of_one, b1_assemble_devices, b1_assemble_suppliers, b1_assemble_all_types, b7_explode_round_trip, b7_explode_all_types,
         b14_review_queue, b16_touched_by_run, d12_calibration, d7_least_upsert, d7_least_upsert_overlap, c6_insert_absent, c3_resolve_sources,
-        c7_differences, d5_tallies, b18_rejects, c4_skipped_links, b20_links, h9_object_ids, h2_legal_names, h5_confidences,
+        c7_differences, d5_tallies, b18_rejects, b18_messages, d6_accepted_counts, b19_property_rows, c4_skipped_links, b20_links, h9_object_ids, h2_legal_names, h5_confidences,
         h6_certifications, l_property_violations, l_link_violations, l_object_violations, l6_repeated_edges,
         l7_repeated_property_keys, l10_many_to_one, l11_missing_targets, l11_missing_references, l11_wrong_end_types, l18_cardinality,
     )
