@@ -52,11 +52,14 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return packing_report(cut(pack(sizes, budgets)), budgets)
 
 
-def p9_found(spark: SparkSession, d: str) -> DataFrame:
+def _leak_input(spark: SparkSession, d: str) -> tuple:
     # Any representative of a look-alike class will do here, so no frequencies are counted.
     rewriter = Rewriter(classes(look_alike_pairs(spark), {}))
-    items = load(spark, d, "eval_items")
-    return leaked_items(load(spark, d, "documents"), "doc_id", "text", items, "item_id", "passage", rewriter)
+    return load(spark, d, "documents"), "doc_id", "text", load(spark, d, "eval_items"), "item_id", "passage", rewriter
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(*_leak_input(spark, d))
 
 
 def p9_leaks_per_suite(spark: SparkSession, d: str) -> DataFrame:
