@@ -9,7 +9,12 @@ from pyspark.sql import types as T
 
 CONFIDENCE = T.DecimalType(4, 3)
 VALUE_TYPES = {"STRING": T.StringType(), "NUMBER": T.DoubleType(), "BOOLEAN": T.BooleanType(), "TIMESTAMP": T.StringType()}
+# How a value came about, who acts, and the closed states of records.
 METHODS = ("DIRECT", "FUZZY_MATCH", "LLM_EXTRACTION", "HUMAN_ENTRY", "INFERRED")
+ACTOR_TYPES = ("HUMAN", "AGENT")
+AUDIT_STATUS = ("PROPOSED", "APPROVED", "REJECTED", "EXECUTED")
+APPLIED_VIA = ("MIGRATION", "AGENT_PROPOSAL")
+PROPOSAL_STATUS = ("PENDING", "CONFIRMED", "REJECTED")
 SCHEMA_VERSION = "0.2.0"
 
 
@@ -165,6 +170,16 @@ def contract() -> dict:
     return {"version": SCHEMA_VERSION, "objectTypes": types, "linkTypes": links}
 
 
+def pascal_case(name: str) -> str:
+    """QUALITY_EVENT becomes QualityEvent: the names of classes made from the contract."""
+    return "".join(part[:1] + part[1:].lower() for part in name.split("_"))
+
+
+def class_definitions() -> dict[str, dict]:
+    """The object types of the contract under the names of their classes."""
+    return {pascal_case(name): body for name, body in contract()["objectTypes"].items()}
+
+
 def serialized_contract() -> str:
     return json.dumps(contract(), sort_keys=True, indent=2)
 

@@ -119,6 +119,11 @@ def review_queue(rows: DataFrame, links: DataFrame, below: float) -> DataFrame:
     return queue.orderBy("confidence", "fact", "fact_key")
 
 
+def pending_approvals(audits: DataFrame) -> DataFrame:
+    """Proposed actions that wait for a decision, the newest first."""
+    return audits.where(F.col("status") == "PROPOSED").orderBy(F.desc("proposed_at"), "id")
+
+
 def touched_by_run(rows: DataFrame, links: DataFrame, run_id: str) -> DataFrame:
     """Every fact that a pipeline run wrote."""
     return _facts(rows, links).where(F.col("pipeline_run_id") == run_id)
@@ -132,16 +137,22 @@ def calibration(rows: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+#: What an upsert leaves as the first row of a link has it: identity and verification.
+KEPT_BY_UPSERT = ("id", "verified_by", "verified_at", "created_at")
+
+
 def least_upsert(old: DataFrame, new: DataFrame, seq: str = "seq") -> DataFrame:
-    """Links keyed by (link_type, from_id, to_id): the least confidence of all rows, the evidence of
-    the newest by `seq`. Repeated rows and re-runs change nothing; one pass, combined before the
-    shuffle."""
+    """Links keyed by (link_type, from_id, to_id): the least confidence of all rows, the provenance of the
+    newest by `seq`, identity and verification (KEPT_BY_UPSERT) of the oldest: an upsert never verifies
+    a link and never takes a verification away. Repeated rows and re-runs change nothing; one pass,
+    combined before the shuffle. `seq` isn't null."""
     both = old.unionByName(new, allowMissingColumns=True)
     keys = ["link_type", "from_id", "to_id"]
     rest = [c for c in both.columns if c not in (*keys, "confidence", seq)]
-    newest = F.max_by(F.struct(*rest), F.struct(seq, *rest)) if rest else F.max(seq)
-    out = both.groupBy(*keys).agg(F.min("confidence").alias("confidence"), newest.alias("_e"), F.max(seq).alias(seq))
-    return out.select(*keys, "confidence", seq, *([f"_e.{c}" for c in rest] if rest else []))
+    parts = {"_old": ([c for c in rest if c in KEPT_BY_UPSERT], F.min_by), "_new": ([c for c in rest if c not in KEPT_BY_UPSERT], F.max_by)}
+    picked = [pick(F.struct(*columns), F.struct(seq, *columns)).alias(name) for name, (columns, pick) in parts.items() if columns]
+    out = both.groupBy(*keys).agg(F.min("confidence").alias("confidence"), F.max(seq).alias(seq), *picked)
+    return out.select(*keys, "confidence", seq, *(f"{name}.{c}" for name, (columns, _) in parts.items() for c in columns))
 
 
 def insert_absent(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -130,6 +130,22 @@ def steps_array(profile: Profile) -> Column:
     )
 
 
+def weakest_link(profile: Profile) -> Column:
+    """The step of `steps_array` that is the weakest (needs the column weakest_step)."""
+    return F.get(steps_array(profile), F.col("weakest_step"))
+
+
+def canonical_results(best: DataFrame, profile: Profile) -> DataFrame:
+    """(source_id, target_id, result): each best path as JSON with all that the answer depends on; link
+    ids, which the storage assigns, are left out, so that two stores can be compared."""
+    steps = F.transform(steps_array(profile), lambda s: F.struct(s["link_type"].alias("link_type"), s["direction"].alias("direction"), s["confidence"].alias("confidence"), s["to"].alias("to")))
+    result = F.struct(
+        F.lit(profile.name).alias("profile"), F.col("target_id").alias("target"), "confidence", "path_count",
+        F.struct(F.col("source_id").alias("from"), F.col("weakest_step").alias("weakest_step_index"), steps.alias("steps")).alias("best_path"),
+    )
+    return best.select("source_id", "target_id", F.to_json(result).alias("result"))
+
+
 def shared_prefix(best: DataFrame, profile: Profile) -> DataFrame:
     """Per source: how many leading steps all its best paths share (links apart), and whether they
     all have the same weakest link within those."""

@@ -10,7 +10,7 @@ import json
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provgraph.model import METHODS
@@ -82,6 +82,19 @@ def ingestion_run(spark: SparkSession, run_id: str, tallies: DataFrame, started_
     return report.select(F.lit(run_id).alias("id"), F.lit(started_at).alias("started_at"), F.lit(finished_at).alias("finished_at"), "summary")
 
 
+def states_of(rows: DataFrame, changes: DataFrame) -> DataFrame:
+    """(object_id, before, after) of the objects that `changes` (object_id, property_name, value) touch: JSON
+    objects from property name to JSON value, names in order, of the changed properties only."""
+    old = rows.where("ordinal = 0").select("object_id", "property_name", F.col("value").alias("old"))
+    both = changes.select("object_id", "property_name", F.col("value").alias("new")).join(old, ["object_id", "property_name"])
+
+    def state(column: str) -> Column:
+        pairs = F.transform(F.sort_array(F.collect_list(F.struct("property_name", column))), lambda x: F.concat(F.lit('"'), x["property_name"], F.lit('":'), x[column]))
+        return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+
+    return both.groupBy("object_id").agg(state("old").alias("before"), state("new").alias("after"))
+
+
 def update_values(rows: DataFrame, changes: DataFrame, at, audit_id: str, action_only: list[str] = (), source: str = "ACTION") -> DataFrame:
     """`rows` with the values of `changes` (object_id, property_name, value) put in at ordinal 0,
     stamped as certain human entries. A change of an action-only property from another source, or
