@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provgraph.model import Profile, check_profile
+from provgraph.model import Profile, check_profile, type_after
+from provgraph.runtime import broadcast_if_small
 
 
 class UnknownObject(LookupError):
@@ -32,32 +33,110 @@ def require_object(objects: DataFrame, object_id: str, object_type: str, refuse_
         raise MergedObject(f"{object_id} is merged into {row.merged_into_id}")
 
 
-def _edges(links: DataFrame, link_type: str, direction: str, k: int) -> DataFrame:
-    start, end = ("from_id", "to_id") if direction == "ALONG" else ("to_id", "from_id")
-    return links.where(F.col("link_type") == link_type).select(
-        F.col(start).alias(f"n{k - 1}"), F.col(end).alias(f"n{k}"), F.col("confidence").alias(f"c{k}"), F.col("id").alias(f"l{k}")
-    )
+class TableGraph:
+    """A graph in the generic tables: `links` (id, link_type, from_id, to_id, confidence) and `objects` (id,
+    object_type). Nodes are known by their ids."""
 
+    def __init__(self, links: DataFrame, objects: DataFrame):
+        self.links, self.objects = links, objects
 
-def paths(links: DataFrame, objects: DataFrame, profile: Profile, source_id: str | None = None) -> DataFrame:
-    """All paths of `profile`: n0..nk (node ids), c1..ck (confidences), l1..lk (link ids).
+    def edges(self, link_type: str) -> DataFrame:
+        """(source, target, confidence, link_id) of a link type."""
+        mine = self.links.where(F.col("link_type") == link_type)
+        return mine.select(F.col("from_id").alias("source"), F.col("to_id").alias("target"), "confidence", F.col("id").alias("link_id"))
+
+    def nodes(self, object_type: str, terminal: bool) -> DataFrame:
+        """(node) of a type; on the way to the end any object will do."""
+        return (self.objects.where(F.col("object_type") == object_type) if terminal else self.objects).select(F.col("id").alias("node"))
+
+    def key(self, object_type: str, object_id: str) -> object:
+        return object_id
+
+    def name(self, object_type: str, node: Column) -> Column:
+        return node
+
+
+class TypedGraph:
+    """A graph in tables of its own for each type: `edges` (link type -> source, target, confidence) and
+    `nodes` (object type -> node, prefix of the ids). Nodes are known by whole-number keys, which shuffle
+    and compare faster than ids; ids are made at the end, as prefix and key."""
+
+    def __init__(self, edges: dict[str, DataFrame], nodes: dict[str, tuple[DataFrame, str]]):
+        self._edges, self._nodes = edges, nodes
+
+    def edges(self, link_type: str) -> DataFrame:
+        return self._edges[link_type]
+
+    def nodes(self, object_type: str, terminal: bool) -> DataFrame:
+        return self._nodes[object_type][0]
+
+    def key(self, object_type: str, object_id: str) -> object:
+        """The key in an id of this type, or None if it can't be one."""
+        prefix = self._nodes[object_type][1]
+        digits = object_id.removeprefix(prefix)
+        return int(digits) if object_id.startswith(prefix) and digits.isascii() and digits.isdigit() and str(int(digits)) == digits else None
+
+    def name(self, object_type: str, node: Column) -> Column:
+        return F.concat(F.lit(self._nodes[object_type][1]), node.cast("string"))
+
+
+Graph = TableGraph | TypedGraph
+#: Nodes reached from one source are broadcast to the next step's edges up to this number.
+REACHED = 100_000
+
+
+def node_types(profile: Profile) -> list[str]:
+    """The object types of n0..nk."""
+    out = [profile.source()]
+    for step in profile.steps:
+        out.append(type_after(out[-1], step))
+    return out
+
+
+def graph_paths(graph: Graph, profile: Profile, source_id: str | None = None) -> DataFrame:
+    """All paths of `profile`: n0..nk (nodes as the graph knows them), c1..ck (confidences) and, where the
+    graph has link ids, l1..lk.
 
-    `links` (id, link_type, from_id, to_id, confidence), `objects` (id, object_type). Every node
-    must be an object, the terminal one of the profile's type. With `source_id` only its paths; the
-    filter reaches the scan of the first step.
+    Every node must be there, the terminal one of the profile's type. With `source_id` only its
+    paths: the filter reaches the scan of the first step, and the edges of later steps are reduced
+    to the nodes reached (broadcast if few) before anything else is done with them.
     """
     check_profile(profile)
-    ids = objects.select("id", "object_type")
+    types = node_types(profile)
     out: DataFrame | None = None
     for k, step in enumerate(profile.steps, 1):
-        edges = _edges(links, step.link_type, step.direction, k)
-        if out is None and source_id is not None:
-            edges = edges.where(F.col("n0") == source_id)
+        start, end = ("source", "target") if step.direction == "ALONG" else ("target", "source")
+        edges = graph.edges(step.link_type)
+        columns = {start: f"n{k - 1}", end: f"n{k}", "confidence": f"c{k}", "link_id": f"l{k}"}
+        edges = edges.select(*(F.col(c).alias(n) for c, n in columns.items() if c in edges.columns))
+        if source_id is not None:
+            if out is None:
+                edges = edges.where(F.col("n0") == F.lit(graph.key(types[0], source_id)))
+            else:
+                reached = broadcast_if_small(out.select(f"n{k - 1}").distinct(), REACHED)
+                edges = edges.join(reached, f"n{k - 1}", "left_semi")
         # Ends are checked on the edges, of which there are far fewer than paths.
-        known = ids.where(F.col("object_type") == profile.to) if k == len(profile.steps) else ids
-        edges = edges.join(known.select(F.col("id").alias(f"n{k}")), f"n{k}", "left_semi")
+        known = graph.nodes(types[k], k == len(profile.steps)).select(F.col("node").alias(f"n{k}"))
+        edges = edges.join(known, f"n{k}", "left_semi")
         out = edges if out is None else out.join(edges, f"n{k - 1}")
-    return out.where(F.col(f"n{len(profile.steps)}") != F.col("n0"))
+    end = f"n{len(profile.steps)}"
+    return out.where(F.col(end) != F.col("n0")) if types[0] == types[-1] else out
+
+
+def paths(links: DataFrame, objects: DataFrame, profile: Profile, source_id: str | None = None) -> DataFrame:
+    """`graph_paths` over the generic tables."""
+    return graph_paths(TableGraph(links, objects), profile, source_id)
+
+
+def named(found: DataFrame, graph: Graph, profile: Profile) -> DataFrame:
+    """Paths (or best paths) of a typed graph with ids instead of keys, link ids included."""
+    if isinstance(graph, TableGraph):
+        return found
+    types = node_types(profile)
+    out = found.withColumns({f"n{k}": graph.name(t, F.col(f"n{k}")) for k, t in enumerate(types)})
+    ends = {k: (k - 1, k) if s.direction == "ALONG" else (k, k - 1) for k, s in enumerate(profile.steps, 1)}
+    out = out.withColumns({f"l{k}": F.concat_ws("|", F.lit(profile.steps[k - 1].link_type), f"n{a}", f"n{b}") for k, (a, b) in ends.items()})
+    return out.withColumns({c: F.col(n) for c, n in (("source_id", "n0"), ("target_id", f"n{len(profile.steps)}")) if c in found.columns})
 
 
 def _numbers(profile: Profile) -> range:
@@ -89,32 +168,47 @@ def target_scores(found: DataFrame, profile: Profile) -> DataFrame:
     )
 
 
-def best_paths(found: DataFrame, profile: Profile) -> DataFrame:
+def _path_order(profile: Profile, graph: Graph | None) -> list[Column]:
+    """What decides between equally certain paths of one pair: the signature without the last step, which
+    all paths of the pair have in common."""
+    types = node_types(profile)
+    name = (lambda k: F.col(f"n{k}")) if graph is None else (lambda k: graph.name(types[k], F.col(f"n{k}")))
+    parts = [F.concat(F.lit(f"{s.link_type}:{s.direction}:"), name(k), F.lit(">")) for k, s in enumerate(profile.steps[:-1], 1)]
+    return [F.concat(*parts)] if parts else []
+
+
+def best_paths(found: DataFrame, profile: Profile, graph: Graph | None = None) -> DataFrame:
     """The best path of each (source, target) with confidence, path_count and weakest_step.
 
-    Better is: higher confidence, fewer steps (all have the profile's), smaller signature.
+    Better is: higher confidence, fewer steps (all have the profile's), smaller signature. Paths meet
+    in one shuffle and are sorted once: ranks and counts use the same order. `graph` is needed for
+    paths of a typed graph, whose nodes come out as keys (see `named`).
     """
     k = len(profile.steps)
-    scored = found.withColumns({"confidence": path_confidence(profile), "weakest_step": weakest_step(profile), "_s": signature(profile)})
+    scored = found.withColumn("confidence", path_confidence(profile))
     pair = Window.partitionBy("n0", f"n{k}")
-    ranked = scored.withColumns(
-        {"path_count": F.count(F.lit(1)).over(pair), "_rn": F.row_number().over(pair.orderBy(F.desc("confidence"), F.asc("_s")))}
-    )
-    best = ranked.where("_rn = 1").drop("_rn", "_s")
-    return best.withColumn("source_id", F.col("n0")).withColumn("target_id", F.col(f"n{k}"))
+    order = [F.desc("confidence"), *(F.asc(c) for c in _path_order(profile, graph))]
+    ranked = scored.withColumn("_rn", F.row_number().over(pair.orderBy(*order))).withColumn("path_count", F.count(F.lit(1)).over(pair))
+    best = ranked.where("_rn = 1").drop("_rn")
+    return best.withColumns({"weakest_step": weakest_step(profile), "source_id": F.col("n0"), "target_id": F.col(f"n{k}")})
 
 
-def traverse(links: DataFrame, objects: DataFrame, profile: Profile, source_id: str) -> DataFrame:
-    """Best paths from one source in target order (confidence down, steps, target id).
+def traverse_graph(graph: Graph, profile: Profile, source_id: str) -> DataFrame:
+    """Best paths from one source in target order (confidence down, steps, target id), with ids.
 
     Raises UnknownObject where the source isn't there; no path gives an empty frame. Merged
     objects can be traversed.
     """
-    source = profile.source()
-    if objects.where((F.col("id") == source_id) & (F.col("object_type") == source)).isEmpty():
+    source, at = profile.source(), graph.key(profile.source(), source_id)
+    if at is None or graph.nodes(source, True).where(F.col("node") == F.lit(at)).isEmpty():
         raise UnknownObject(f"{source} {source_id}")
-    found = best_paths(paths(links, objects, profile, source_id), profile)
-    return found.orderBy(F.desc("confidence"), "target_id")
+    found = best_paths(graph_paths(graph, profile, source_id), profile, graph)
+    return named(found, graph, profile).orderBy(F.desc("confidence"), "target_id")
+
+
+def traverse(links: DataFrame, objects: DataFrame, profile: Profile, source_id: str) -> DataFrame:
+    """`traverse_graph` over the generic tables."""
+    return traverse_graph(TableGraph(links, objects), profile, source_id)
 
 
 def steps_array(profile: Profile) -> Column:
@@ -164,19 +258,27 @@ def shared_prefix(best: DataFrame, profile: Profile) -> DataFrame:
     )
 
 
-def bottleneck_scores(links: DataFrame, profile: Profile) -> DataFrame:
+def bottleneck_of_graph(graph: Graph, profile: Profile) -> DataFrame:
     """(source_id, target_id, confidence, path_count) without materialising paths: between steps
     equal (source, node) rows are combined (max of min, counts summed), which the semiring of
     weakest links allows. For long profiles; edges are taken as they are, without node checks."""
     out: DataFrame | None = None
-    for k, step in enumerate(profile.steps, 1):
-        edges = _edges(links, step.link_type, step.direction, k).select(F.col(f"n{k - 1}").alias("node"), F.col(f"n{k}").alias("next"), F.col(f"c{k}").alias("c"))
+    types = node_types(profile)
+    for step in profile.steps:
+        start, end = ("source", "target") if step.direction == "ALONG" else ("target", "source")
+        edges = graph.edges(step.link_type).select(F.col(start).alias("node"), F.col(end).alias("next"), F.col("confidence").alias("c"))
         if out is None:
             stepped = edges.select(F.col("node").alias("source_id"), F.col("next").alias("node"), "c", F.lit(1).cast("long").alias("n"))
         else:
             stepped = out.join(edges, "node").select("source_id", F.col("next").alias("node"), F.least("confidence", "c").alias("c"), F.col("path_count").alias("n"))
         out = stepped.groupBy("source_id", "node").agg(F.max("c").alias("confidence"), F.sum("n").alias("path_count"))
-    return out.where("source_id <> node").withColumnRenamed("node", "target_id")
+    out = out.where("source_id <> node") if types[0] == types[-1] else out
+    return out.select(graph.name(types[0], F.col("source_id")).alias("source_id"), graph.name(types[-1], F.col("node")).alias("target_id"), "confidence", "path_count")
+
+
+def bottleneck_scores(links: DataFrame, profile: Profile) -> DataFrame:
+    """`bottleneck_of_graph` over the generic links."""
+    return bottleneck_of_graph(TableGraph(links, links), profile)
 
 
 def risk_report(best: DataFrame, profile: Profile, names: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from provgraph import model
 from provgraph.operators import constraints, ingest, tracked, traverse
-from provgraph.plans.graph import _clean_rows, _domain, _found
+from provgraph.plans.graph import _best, _clean_rows
 from provgraph.plans.preparation import typed
 from provgraph.runtime import load
 from provgraph.store import audit_history, states_of, update_values
@@ -210,7 +210,7 @@ def h3_countries(spark: SparkSession, d: str) -> DataFrame:
 
 def h13_canonical_results(spark: SparkSession, d: str) -> DataFrame:
     p = model.SUPPLIER_DEVICE_RISK
-    return traverse.canonical_results(traverse.best_paths(_found(spark, d, p, "SUP-0"), p), p)
+    return traverse.canonical_results(_best(spark, d, p, "SUP-0"), p)
 
 
 def m1_registry(spark: SparkSession, d: str) -> DataFrame:

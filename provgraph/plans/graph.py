@@ -12,75 +12,95 @@ from provgraph import model
 from provgraph.functions.text import key
 from provgraph.operators import constraints, ingest, traverse, tracked
 from provgraph.runtime import load
-from provgraph.sources.star_graph import star_links, star_objects
+from provgraph.sources.star_graph import star_graph, star_links, star_objects
 
 SOURCE = "SUP-0"
 
 
-def _found(spark: SparkSession, d: str, profile: model.Profile, source: str | None = None) -> DataFrame:
-    return traverse.paths(star_links(spark, d), star_objects(spark, d), profile, source)
+def _found(spark: SparkSession, d: str, profile: model.Profile, source: str | None = None) -> tuple[DataFrame, traverse.Graph]:
+    graph = star_graph(spark, d)
+    return traverse.graph_paths(graph, profile, source), graph
+
+
+def _best(spark: SparkSession, d: str, profile: model.Profile, source: str | None = None) -> DataFrame:
+    """Best paths with ids."""
+    found, graph = _found(spark, d, profile, source)
+    return traverse.named(traverse.best_paths(found, profile, graph), graph, profile)
+
+
+def _scores(spark: SparkSession, d: str, profile: model.Profile, source: str | None = None) -> tuple[DataFrame, traverse.Graph]:
+    found, graph = _found(spark, d, profile, source)
+    return traverse.target_scores(found, profile), graph
 
 
 def c1_supplier_device_risk_one(spark: SparkSession, d: str) -> DataFrame:
-    p = model.SUPPLIER_DEVICE_RISK
-    best = traverse.traverse(star_links(spark, d), star_objects(spark, d), p, SOURCE)
+    best = traverse.traverse_graph(star_graph(spark, d), model.SUPPLIER_DEVICE_RISK, SOURCE)
     return best.select("target_id", "confidence", "path_count", F.col("n1").alias("via_part"), "c1", "c2", "weakest_step")
 
 
+def c1_generic_tables_one(spark: SparkSession, d: str) -> DataFrame:
+    """The same over the generic tables of links and objects."""
+    best = traverse.traverse(star_links(spark, d), star_objects(spark, d), model.SUPPLIER_DEVICE_RISK, SOURCE)
+    return best.select("target_id", "confidence", "path_count", F.col("n1").alias("via_part"), "c1", "c2", "weakest_step", "l1", "l2")
+
+
 def a19_risk_report(spark: SparkSession, d: str) -> DataFrame:
     p = model.SUPPLIER_DEVICE_RISK
-    best = traverse.best_paths(_found(spark, d, p, SOURCE), p)
     names = load(spark, d, "part").select(F.concat(F.lit("PART-"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"))
-    return traverse.risk_report(best, p, names).drop("source_id")
+    return traverse.risk_report(_best(spark, d, p, SOURCE), p, names).drop("source_id")
+
+
+def _named_source(df: DataFrame, graph: traverse.Graph, profile: model.Profile) -> DataFrame:
+    return df.withColumn("source_id", graph.name(profile.source(), F.col("source_id")))
 
 
 def d1_supplier_device_risk_all(spark: SparkSession, d: str) -> DataFrame:
     p = model.SUPPLIER_DEVICE_RISK
-    return traverse.target_scores(_found(spark, d, p), p).groupBy("source_id").agg(
+    scores, graph = _scores(spark, d, p)
+    return _named_source(scores.groupBy("source_id").agg(
         F.count(F.lit(1)).alias("n_devices"), F.min("confidence").alias("min_confidence"), F.max("confidence").alias("max_confidence"),
         F.sum("path_count").alias("n_paths"), F.count_if(F.col("path_count") == 1).alias("n_single_route"),
-    )
+    ), graph, p)
 
 
 def d1_bottleneck_site_exposure(spark: SparkSession, d: str) -> DataFrame:
-    return traverse.bottleneck_scores(star_links(spark, d), model.SUPPLIER_SITE_EXPOSURE)
+    return traverse.bottleneck_of_graph(star_graph(spark, d), model.SUPPLIER_SITE_EXPOSURE)
 
 
 def c1_supplier_site_exposure_one(spark: SparkSession, d: str) -> DataFrame:
-    p = model.SUPPLIER_SITE_EXPOSURE
-    best = traverse.best_paths(_found(spark, d, p, SOURCE), p)
+    best = _best(spark, d, model.SUPPLIER_SITE_EXPOSURE, SOURCE)
     return best.select("target_id", "confidence", "path_count", F.col("n1").alias("via_part"), F.col("n2").alias("via_device"), "weakest_step")
 
 
 def c1_part_suppliers(spark: SparkSession, d: str) -> DataFrame:
     p = model.PART_SUPPLIERS
-    return traverse.target_scores(_found(spark, d, p), p).groupBy("source_id").agg(
-        F.count(F.lit(1)).alias("n_suppliers"), F.max("confidence").alias("best_confidence")
-    )
+    scores, graph = _scores(spark, d, p)
+    return _named_source(scores.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_suppliers"), F.max("confidence").alias("best_confidence")), graph, p)
 
 
 def c1_co_suppliers_one(spark: SparkSession, d: str) -> DataFrame:
     p = model.CO_SUPPLIERS
-    return traverse.target_scores(_found(spark, d, p, SOURCE), p).drop("source_id")
+    scores, graph = _scores(spark, d, p, SOURCE)
+    return scores.select(graph.name(p.to, F.col("target_id")).alias("target_id"), "confidence", "path_count")
 
 
 def c1_event_device_impact(spark: SparkSession, d: str) -> DataFrame:
     p = model.EVENT_DEVICE_IMPACT
-    return traverse.target_scores(_found(spark, d, p), p).groupBy("source_id").agg(
-        F.count(F.lit(1)).alias("n_devices"), F.max("confidence").alias("max_confidence")
-    )
+    scores, graph = _scores(spark, d, p)
+    return _named_source(scores.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_devices"), F.max("confidence").alias("max_confidence")), graph, p)
 
 
 def d3_weakest_step_histogram(spark: SparkSession, d: str) -> DataFrame:
     p = model.SUPPLIER_DEVICE_RISK
-    return traverse.best_paths(_found(spark, d, p), p).groupBy("weakest_step").agg(
+    found, graph = _found(spark, d, p)
+    return traverse.best_paths(found, p, graph).groupBy("weakest_step").agg(
         F.count(F.lit(1)).alias("n_pairs"), F.sum("confidence").cast("decimal(20,3)").alias("sum_confidence")
     )
 
 
 def d8_shared_prefix(spark: SparkSession, d: str) -> DataFrame:
     p = model.EVENT_DEVICE_IMPACT
-    return traverse.shared_prefix(traverse.best_paths(_found(spark, d, p), p), p)
+    return traverse.shared_prefix(_best(spark, d, p), p)
 
 
 def _domain(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -342,7 +362,7 @@ def l18_cardinality(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        c1_supplier_device_risk_one, a19_risk_report, d1_supplier_device_risk_all, d1_bottleneck_site_exposure, c1_supplier_site_exposure_one,
+        c1_supplier_device_risk_one, c1_generic_tables_one, a19_risk_report, d1_supplier_device_risk_all, d1_bottleneck_site_exposure, c1_supplier_site_exposure_one,
         c1_part_suppliers, c1_co_suppliers_one, c1_event_device_impact, d3_weakest_step_histogram, d8_shared_prefix,
         b3_links_per_object, b3_links_of_one, b1_assemble_devices, b1_assemble_suppliers, b1_assemble_all_types, b7_explode_round_trip, b7_explode_all_types,
         b14_review_queue, b16_touched_by_run, d12_calibration, d7_least_upsert, d7_least_upsert_overlap, c6_insert_absent, c3_resolve_sources,

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from provgraph.operators.traverse import TypedGraph
 from provgraph.runtime import load
 
 
@@ -57,3 +58,32 @@ def star_links(spark: SparkSession, d: str) -> DataFrame:
     ]
     out = reduce(DataFrame.unionByName, [supplies, composed, made, *hits])
     return out.select(F.concat_ws("|", "link_type", "from_id", "to_id").alias("id"), "*")
+
+
+def star_graph(spark: SparkSession, d: str) -> TypedGraph:
+    """The same graph with a table for each type and whole-number keys."""
+    line, orders, col = load(spark, d, "lineitem"), load(spark, d, "orders"), F.col
+    errors = load(spark, d, "events").where("event_type = 'error'")
+    n_sup, n_part = (load(spark, d, t).count() for t in ("supplier", "part"))
+
+    def edges(rows: DataFrame, a: Column, b: Column, confidence: Column) -> DataFrame:
+        return rows.select(a.cast("long").alias("source"), b.cast("long").alias("target"), confidence.alias("confidence"))
+
+    pairs = lambda a: line.select(a, "l_partkey").distinct()
+    sites = orders.join(load(spark, d, "customer"), col("o_custkey") == col("c_custkey")).select("o_orderkey", "c_nationkey").distinct()
+    hit, user = col("event_id"), col("user_id")
+    nodes = {
+        "SUPPLIER": ("supplier", "s_suppkey", "SUP-"), "PART": ("part", "p_partkey", "PART-"), "DEVICE": ("orders", "o_orderkey", "DEV-"), "SITE": ("nation", "n_nationkey", "SITE-"),
+    }
+    frames = {kind: (load(spark, d, t).select(col(c).cast("long").alias("node")), prefix) for kind, (t, c, prefix) in nodes.items()}
+    frames["QUALITY_EVENT"] = (errors.select(hit.cast("long").alias("node")), "QE-")
+    return TypedGraph(
+        {
+            "SUPPLIES": edges(pairs("l_suppkey"), col("l_suppkey"), col("l_partkey"), _confidence(500, 500, col("l_suppkey"), 31, col("l_partkey"), 17)),
+            "COMPOSED_OF": edges(pairs("l_orderkey"), col("l_orderkey"), col("l_partkey"), _confidence(600, 401, col("l_orderkey"), 13, col("l_partkey"), 7)),
+            "MANUFACTURED_AT": edges(sites, col("o_orderkey"), col("c_nationkey"), _confidence(700, 301, col("o_orderkey"), 11, col("c_nationkey"), 5)),
+            "AFFECTS_SUPPLIER": edges(errors, hit, user % n_sup, _confidence(400, 601, hit, 7, user, 3)),
+            "AFFECTS_PART": edges(errors, hit, hit % n_part, _confidence(400, 601, hit, 7, user, 3)),
+        },
+        frames,
+    )
