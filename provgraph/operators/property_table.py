@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from provgraph.functions.skew import hot_keys, salted_join
 from provgraph.functions.text import NUMBER, key, name_key, squeeze
-from provgraph.runtime import broadcast_if_small, written_by
+from provgraph.runtime import broadcast_if_small, bucketed
 
 #: Catalogs of at most so many rows are broadcast; larger ones are joined by shuffle.
 CATALOG_ROWS = 10_000
@@ -110,40 +110,61 @@ def typed_properties(
     )
 
 
-def _narrow(best: DataFrame, name: str, value_type: str, is_multiple: bool) -> DataFrame:
-    """The typed table of one attribute: object_id (once) and a column `name`."""
-    value = {"STRING": "text", "NUMBER": "num", "BOOLEAN": "flag", "TIMESTAMP": "at"}[value_type]
-    rows = best.where(F.col("property") == name)
-    if not is_multiple:
-        return rows.select("object_id", F.col(value).alias(name))
-    listed = F.sort_array(F.collect_list(F.struct(F.col("ordinal").isNull().alias("_last"), "ordinal", "prop_row_id", value)))
-    return rows.groupBy("object_id").agg(F.transform(listed, lambda x: x[value]).alias(name))
+#: Objects per bucket of the narrow tables, and attributes joined in a row before chains are joined.
+OBJECTS_PER_BUCKET, CHAIN = 100_000, 5
 
 
-def _balanced(tables: list[DataFrame]) -> DataFrame:
-    """Full outer joins on object_id as a balanced tree: depth log2 of the number of tables.
+def catalog_columns(catalog: DataFrame) -> list[tuple[str, str, bool]]:
+    """(property, value_type, is_multiple) for each property name of a catalog, those of one object type
+    beside each other. The catalog is the schema of the wide table, so it must be known to plan.
 
-    Each level is its own stage. A chain of co-partitioned left joins would save shuffles between
-    the levels, but then one task holds the buffers of many tables at once; on executors of 3 GB
-    that ran out of memory with three tables a stage already.
+    A name that object types declare with different types, or as a list and not, is a ValueError: one
+    column can't hold both.
     """
-    while len(tables) > 1:
-        pairs = [tables[i : i + 2] for i in range(0, len(tables), 2)]
-        tables = [p[0].join(p[1], "object_id", "full") if len(p) > 1 else p[0] for p in pairs]
-    return tables[0]
+    declared = catalog.groupBy("property_name").agg(
+        F.min("object_type").alias("o"), F.collect_set(F.struct(F.upper("value_type").alias("t"), F.col("is_multiple").alias("m"))).alias("kinds")
+    ).orderBy("o", "property_name").collect()
+    conflicts = [r.property_name for r in declared if len(r.kinds) > 1]
+    if conflicts:
+        raise ValueError(f"declared differently by several object types: {', '.join(conflicts)}")
+    return [(r.property_name, r.kinds[0].t, r.kinds[0].m) for r in declared]
+
+
+def _narrow(kept: DataFrame, name: str, value_type: str, is_multiple: bool) -> DataFrame:
+    """The typed table of one attribute: object_id (once, in order) and a column `name`."""
+    value = F.col("values")[{"STRING": "text", "NUMBER": "num", "BOOLEAN": "flag", "TIMESTAMP": "at"}[value_type]]
+    return kept.where(F.col("property") == name).select("object_id", (value if is_multiple else F.get(value, 0)).alias(name))
+
+
+def _joined(ids: DataFrame, narrow: list[DataFrame]) -> DataFrame:
+    """The narrow tables joined to the objects as a tree: chains of up to CHAIN attributes, then the chains.
+
+    Every join has a table of all objects on its left, as a full outer join of two narrow tables would
+    lose the partitioning; so all levels stay partitioned and sorted by object_id as the tables are
+    stored, and the whole tree is one stage of merges without exchange or sort.
+    """
+    chains = []
+    for at in range(0, len(narrow), CHAIN):
+        chain = ids
+        for table in narrow[at : at + CHAIN]:
+            chain = chain.join(table.hint("merge"), "object_id", "left")
+        chains.append(chain)
+    while len(chains) > 1:
+        pairs = [chains[i : i + 2] for i in range(0, len(chains), 2)]
+        chains = [p[0].join(p[1].hint("merge"), "object_id", "left") if len(p) > 1 else p[0] for p in pairs]
+    return chains[0] if chains else ids
 
 
 def wide_table(typed: DataFrame, objects: DataFrame, catalog_rows: list[tuple[str, str, bool]]) -> DataFrame:
     """One row per object with a column of the declared type for each property.
 
-    `catalog_rows`: (property, value_type, is_multiple), one per property name; those of one object
-    type beside each other keep the joined tables small. For each (object,
-    property, ordinal) the row with the highest confidence comes first, then the latest, then the
-    smallest prop_row_id; a single-valued property takes the smallest ordinal (null last). Multiple ones are
-    lists by ordinal (nulls last; every such value stays). Objects without any readable property
-    have a row of nulls. The best rows are chosen by an aggregate that combines before the shuffle
-    and written partitioned by attribute, so that each narrow table reads its own part only; they
-    are partitioned by object_id and joined as a balanced tree.
+    `catalog_rows`: see `catalog_columns`. For each (object, property, ordinal) the row with the highest
+    confidence comes first, then the latest, then the smallest prop_row_id; a single-valued property
+    takes the smallest ordinal (null last). Multiple ones are lists by ordinal (nulls last; every such
+    value stays), null without values. Objects without any readable property have a row of nulls.
+    The best rows are chosen by an aggregate that combines before the shuffle, and stored once,
+    partitioned by attribute and bucketed by object; objects are bucketed alike. Each narrow table
+    reads its own part only, and the joins need no further exchange.
     """
     multiple = F.col("property").isin([name for name, _, is_multiple in catalog_rows if is_multiple])
     # Of a single-valued property the smallest ordinal comes first; of a list each has its own row,
@@ -158,10 +179,12 @@ def wide_table(typed: DataFrame, objects: DataFrame, catalog_rows: list[tuple[st
         typed.where(F.col("state") == "ok")
         .groupBy("object_id", "property", slot.alias("ordinal"), unplaced.alias("_unplaced"))
         .agg(F.max_by(F.struct("prop_row_id", "text", "num", "flag", "at"), order).alias("v"))
-        .select("object_id", "property", "ordinal", "v.*")
     )
-    best = written_by(best, "property")
-    ids = objects.select(key(F.col("id")).alias("object_id")).where(F.col("object_id").isNotNull()).distinct()
-    narrow = [_narrow(best, *row) for row in catalog_rows]
-    # The objects come in at the root only, so that their keys aren't carried through the levels.
-    return ids.join(_balanced(narrow), "object_id", "left") if narrow else ids
+    ids = objects.select(key(F.col("id")).alias("object_id")).where(F.col("object_id").isNotNull())
+    buckets = max(objects.sparkSession.sparkContext.defaultParallelism, -(-ids.count() // OBJECTS_PER_BUCKET))
+    # Partitioned by object before rows become lists, so that the list is made where it is stored.
+    listed = F.sort_array(F.collect_list(F.struct(F.col("ordinal").isNull().alias("_last"), "ordinal", "v")))
+    kept = best.repartition(buckets, "object_id").groupBy("object_id", "property").agg(F.transform(listed, lambda x: x["v"]).alias("values"))
+    ids = bucketed(ids.repartition(buckets, "object_id").distinct(), "object_id", buckets)
+    kept = bucketed(kept, "object_id", buckets, by="property")
+    return _joined(ids, [_narrow(kept, *row) for row in catalog_rows])

@@ -99,14 +99,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_wide(spark: SparkSession, d: str) -> DataFrame:
-    # The catalog is the schema of the result: it must be known to plan. One row per property name.
-    catalog = (
-        load(spark, d, "property_catalog")
-        .groupBy("property_name")
-        .agg(F.min(F.upper("value_type")).alias("t"), F.max("is_multiple").alias("m"), F.min("object_type").alias("o"))
-        .orderBy("o", "property_name")
-    )
-    rows = [tuple(r)[:3] for r in catalog.collect()]
+    rows = property_table.catalog_columns(load(spark, d, "property_catalog"))
     wide = property_table.wide_table(typed(spark, d), load(spark, d, "objects"), rows)
     lists = [n for n, _, multiple in rows if multiple]
     return wide.withColumns({n: F.to_json(n) for n in lists})

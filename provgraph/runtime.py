@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -30,7 +32,9 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(content, "w") as z:
         for path in sorted(here.rglob("*.py")):
             z.write(path, str(path.relative_to(here.parent)))
-    file = Path(tempfile.mkdtemp(prefix="provgraph-")) / "provgraph.zip"
+    folder = tempfile.mkdtemp(prefix="provgraph-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    file = Path(folder) / "provgraph.zip"
     file.write_bytes(content.getvalue())
     sc.addPyFile(str(file))  # the driver serves it to the executors
     sc._provgraph_shipped = True
@@ -46,6 +50,7 @@ def _checkpoint_folder(spark: SparkSession) -> str:
             if not sc.master.startswith("local[") and sc.master != "local":
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix=f"provgraph-{os.getpid()}-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
@@ -56,12 +61,43 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written_by(df: DataFrame, column: str) -> DataFrame:
-    """`df` written to the shared folder as a table partitioned by `column`, and read from there: a
-    filter on the column then reads only its part."""
-    path = f"{_checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.partitionBy(column).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def bucketed(df: DataFrame, key: str, buckets: int, by: str | None = None) -> DataFrame:
+    """`df` written to the shared folder as a table in `buckets` buckets of `key`, sorted by it, and
+    partitioned by `by`: joins of such tables on the key need neither exchange nor sort, and a filter
+    on `by` reads only its part. Each bucket (of each part) is one file, so the order within a bucket
+    is known; the session is told to rely on it. See `release`."""
+    spark = df.sparkSession
+    name = f"provgraph_{uuid.uuid4().hex}"
+    spread = df.repartition(buckets, key)
+    spread = spread.sortWithinPartitions(*([by] if by else []), key)
+    writer = spread.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", f"{_checkpoint_folder(spark)}/{name}")
+    (writer.partitionBy(by) if by else writer).saveAsTable(name)
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    _written(spark).append(name)
+    return spark.table(name)
+
+
+def _written(spark: SparkSession) -> list[str]:
+    sc = spark.sparkContext
+    if not hasattr(sc, "_provgraph_written"):
+        sc._provgraph_written = []
+    return sc._provgraph_written
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables and checkpoints this library has written in the session. Call it when the
+    results that were made from them have been used. (Spark deletes single checkpoints earlier where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set.)"""
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir()
+    if folder is None:
+        return
+    for name in _written(spark):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    _written(spark).clear()
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    sc.setCheckpointDir(os.path.dirname(folder.rstrip("/")))
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:

@@ -1,5 +1,8 @@
 import datetime as dt
 
+import pytest
+
+from provgraph import runtime
 from provgraph.operators import property_table as T
 from tests.conftest import day, rows
 
@@ -65,3 +68,37 @@ def test_every_value_of_a_list_without_ordinal_stays_and_is_last(spark):
     values = [("o1", "tags", None, '"n1"'), ("o1", "tags", 1, '"y"'), ("o1", "tags", None, '"n2"'), ("o1", "tags", 0, '"x"'), ("o1", "tags", None, '"n1"')]
     got = T.wide_table(typed(spark, values), spark.createDataFrame([("o1",)], "id string"), [("tags", "STRING", True)]).collect()
     assert [r.tags for r in got] == [["x", "y", "n1", "n2", "n1"]]
+
+
+def test_conflicting_declarations_are_refused(spark):
+    catalog = spark.createDataFrame([("A", "x", "STRING", False), ("B", "x", "string", False), ("A", "y", "NUMBER", True)], "object_type string, property_name string, value_type string, is_multiple boolean")
+    assert T.catalog_columns(catalog) == [("x", "STRING", False), ("y", "NUMBER", True)]
+    for kind, multiple in (("NUMBER", False), ("STRING", True)):
+        other = spark.createDataFrame([("C", "x", kind, multiple)], catalog.schema)
+        with pytest.raises(ValueError, match="x"):
+            T.catalog_columns(catalog.unionByName(other))
+
+
+def test_joins_of_the_wide_table_need_no_exchange_and_no_sort(spark):
+    names = [(f"p{i}", "STRING", i % 3 == 0) for i in range(13)]
+    typed = spark.range(200).selectExpr(
+        "id AS prop_row_id", "concat('o', id % 20) AS object_id", "concat('p', id % 13) AS property", "CAST(id % 4 AS INT) AS ordinal", "CAST(1 AS DECIMAL(4,3)) AS confidence",
+        "TIMESTAMP '2025-01-01' AS extracted_at", "string(id) AS text", "CAST(NULL AS DOUBLE) AS num", "CAST(NULL AS BOOLEAN) AS flag", "CAST(NULL AS TIMESTAMP) AS at", "'ok' AS state",
+    )
+    objects = spark.range(25).selectExpr("concat('o', id) AS id")
+    wide = T.wide_table(typed, objects, names)
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("SortMergeJoin") == 13 + 2 and "Sort [" not in plan
+    got = {r.object_id: r for r in wide.collect()}
+    want = {}
+    for i in range(200):
+        want.setdefault((f"o{i % 20}", f"p{i % 13}"), []).append((i % 4, i))
+    for (o, p), values in want.items():
+        if names[int(p[1:])][2]:
+            first = {k: min(i for q, i in values if q == k) for k, _ in values}
+            assert got[o][p] == [str(first[k]) for k in sorted(first)]
+        else:
+            assert got[o][p] == str(min(values)[1])
+    assert len(got) == 25 and all(v is None for v in list(got["o24"])[1:])
+    runtime.release(spark)
+    assert T.wide_table(typed, objects, names).count() == 25
