@@ -7,16 +7,19 @@ each rule are derived from whole given tables by plain conditions on their colum
 from __future__ import annotations
 
 import datetime as dt
+import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provgraph import model
-from provgraph.operators import constraints, ingest, tracked, traverse
-from provgraph.plans.graph import _best, _clean_rows
+from provgraph.operators import apply, constraints, ingest, tracked, traverse
+from provgraph.plans.graph import _best, _bundle, _clean_rows
 from provgraph.plans.preparation import typed
-from provgraph.runtime import load
-from provgraph.store import audit_history, states_of, update_values
+from provgraph.runtime import load, shared_folder
+from provgraph.sources import csv_bundle
+from provgraph.store import SnapshotStore, audit_history, states_of, update_values
 
 
 def _last(c: str = "id") -> Column:
@@ -222,12 +225,47 @@ def m1_registry(spark: SparkSession, d: str) -> DataFrame:
     return both.select("object_type", "property_name", "value_type", "is_multiple", F.coalesce("declared", F.lit(False)).alias("declared"), F.coalesce("given", F.lit(False)).alias("given"))
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def a6_csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The vendors written as CSV files and read from there, with line numbers in each file."""
+    path, columns = _folder(spark, "csv"), csv_bundle.FILES["vendor_master"]
+    csv_bundle.write_csv(load(spark, d, "vendor_master").select(*columns), path)
+    rows = csv_bundle.read_csv_rows(spark, path, columns)
+    return rows.select(*columns, (F.col("line") > 1).alias("numbered"))
+
+
+def a9_ingested_twice(spark: SparkSession, d: str) -> DataFrame:
+    """All five files applied to a new store by two runs, the second with half the confidence: rows and
+    least confidence of each table. Vendors without a country get 'ZZ', as an empty one is refused."""
+    bundle = _bundle(spark, d)
+    country = F.when(F.trim(F.regexp_replace(F.coalesce("LAND1", F.lit("")), r"\s+", " ")) == "", "ZZ").otherwise(F.col("LAND1"))
+    family = F.when(F.trim(F.regexp_replace(F.coalesce("PRODUCT_FAMILY", F.lit("")), r"\s+", " ")) == "", "none").otherwise(F.col("PRODUCT_FAMILY"))
+    bundle["vendor_master"] = bundle["vendor_master"].withColumn("LAND1", country)
+    bundle["device_master"] = bundle["device_master"].withColumn("PRODUCT_FAMILY", family)
+    store = SnapshotStore(spark, _folder(spark, "store").removeprefix("file:"))
+    at = dt.datetime(2026, 1, 15, 9, 30)
+    apply.apply_plan(store, ingest.Plan(bundle), "run-1", at)
+    for file in ("supply_relationship", "device_bom"):
+        bundle[file] = bundle[file].withColumn("CONFIDENCE", F.lit("0.45"))
+    apply.apply_plan(store, ingest.Plan(bundle), "run-2", at)
+    names = ["objects", "object_properties", "links", "object_source_keys", "audit_records", "audit_record_objects", "ingestion_runs"]
+    parts = []
+    for name in names:
+        rows = store.read(name)
+        least = F.max("confidence") if "confidence" in rows.columns else F.lit(None).cast("decimal(4,3)")
+        parts.append(rows.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows"), least.alias("most_confidence")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         l_planted_links, l_planted_objects, l11_planted_end_types, l12_audit_violations, l14_schema_violations, l16_proposal_violations,
         l16_pending_twice, l17_run_violations, l19_source_keys, l11_all_references, l18_unaddressed_audits, l18_declared_types, b21_value_breaks,
         b15_pending_approvals, b2_property_rows_of_one, c2_audit_history, d7_upsert_keeps_verification, k11_updated_values, k10_states,
-        h3_countries, h13_canonical_results, m1_registry,
+        h3_countries, h13_canonical_results, m1_registry, a6_csv_round_trip, a9_ingested_twice,
     )
 }

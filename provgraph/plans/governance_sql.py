@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from provgraph.model import OBJECT_TYPES
-from provgraph.plans.graph_sql import _CLEAN, _GRAPH, _LINK_RULES, _OBJECT_RULES, _RANKED, _RISK, _S, _rules
+from provgraph.plans.graph_sql import _CHECKED, _CLEAN, _GRAPH, _LINK_RULES, _OBJECT_RULES, _RANKED, _RISK, _S, _confidence, _rules
 from provgraph.plans.preparation_sql import TYPED, key
 
 _LINKS = """dirty AS (SELECT * REPLACE (CAST(CASE WHEN x = '0' THEN 1.5 ELSE confidence END AS DECIMAL(4,3)) AS confidence, CASE WHEN x = '1' THEN 'GUESS' ELSE method END AS method,
@@ -114,6 +114,15 @@ ORACLE_SQL: dict[str, str] = {
  SELECT src AS source_id, dst AS target_id, '{{"profile":"SUPPLIER_DEVICE_RISK","target":"' || dst || '","confidence":' || c || ',"path_count":' || n || ',"best_path":{{"from":"' || src || '","weakest_step_index":' ||
   CASE WHEN c1 = c THEN 0 ELSE 1 END || ',"steps":[{{"link_type":"SUPPLIES","direction":"ALONG","confidence":' || c1 || ',"to":"' || mid || '"}},{{"link_type":"COMPOSED_OF","direction":"AGAINST","confidence":' || c2 || ',"to":"' || dst || '"}}]}}}}' AS result
  FROM ranked WHERE rn = 1""",
+    "a6_csv_round_trip": "SELECT {}, true AS numbered FROM vendor_master".format(", ".join(f"coalesce({c}, '') AS {c}" for c in ("LIFNR", "NAME1", "LAND1", "TIER", "DUNS", "QUALITY_RATING", "CERTIFICATIONS"))),
+    "a9_ingested_twice": f"""WITH {_CHECKED}, o AS (SELECT 'v' AS t, {_S('LIFNR')} AS k, arg_min(struct_pack(d := nullif({_S('DUNS')}, '') IS NOT NULL, n := 5,
+   c := len(list_filter(string_split(coalesce(CERTIFICATIONS, ''), '|'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g')) <> ''))), line_no) AS r FROM v WHERE code IS NULL GROUP BY 2
+  UNION ALL SELECT 'm', {_S('MATNR')}, struct_pack(d := false, n := 6, c := 0) FROM m WHERE code IS NULL GROUP BY 2 UNION ALL SELECT 'd', {_S('DEVICE_ID')}, struct_pack(d := false, n := 4, c := 0) FROM d WHERE code IS NULL GROUP BY 2),
+ l AS (SELECT 'S' AS t, {_S('LIFNR')} AS a, {_S('MATNR')} AS b, {_confidence('CONFIDENCE', 0.9)} AS c FROM s WHERE code IS NULL UNION ALL SELECT 'B', {_S('DEVICE_ID')}, {_S('MATNR')}, {_confidence('CONFIDENCE', 0.85)} FROM b WHERE code IS NULL),
+ e AS (SELECT least(min(c), 0.45) AS c FROM l GROUP BY t, a, b)
+ SELECT 'objects' AS table_name, count(*) AS n_rows, CAST(NULL AS DECIMAL(4,3)) AS most_confidence FROM o UNION ALL SELECT 'object_source_keys', count(*), NULL FROM o
+ UNION ALL SELECT 'object_properties', CAST(sum(r.n + CAST(r.d AS INT) + r.c) AS BIGINT), 1 FROM o UNION ALL SELECT 'links', count(*), max(c) FROM e
+ UNION ALL SELECT 'audit_records', 2, NULL UNION ALL SELECT 'audit_record_objects', 2 * count(*), NULL FROM o UNION ALL SELECT 'ingestion_runs', 2, NULL""",
     "m1_registry": f"""WITH {_REGISTRY} SELECT coalesce(r.object_type, c.object_type) AS object_type, coalesce(r.property_name, c.property_name) AS property_name, coalesce(r.declared, c.value_type) AS value_type,
  coalesce(r.multiple, c.is_multiple) AS is_multiple, r.object_type IS NOT NULL AS declared, c.object_type IS NOT NULL AS given
  FROM registry r FULL JOIN property_catalog c ON c.object_type = r.object_type AND c.property_name = r.property_name AND c.value_type = r.declared AND c.is_multiple = r.multiple""",

@@ -40,7 +40,7 @@ def ship(spark: SparkSession) -> None:
     sc._provgraph_shipped = True
 
 
-def _checkpoint_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: that of spark.checkpoint.dir. Only where it is unset and
     the master is local (tests, a laptop) a temporary folder is made."""
     sc = spark.sparkContext
@@ -57,7 +57,7 @@ def _checkpoint_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` and cut its lineage with a reliable checkpoint."""
-    _checkpoint_folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -70,7 +70,7 @@ def bucketed(df: DataFrame, key: str, buckets: int, by: str | None = None) -> Da
     name = f"provgraph_{uuid.uuid4().hex}"
     spread = df.repartition(buckets, key)
     spread = spread.sortWithinPartitions(*([by] if by else []), key)
-    writer = spread.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", f"{_checkpoint_folder(spark)}/{name}")
+    writer = spread.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", f"{shared_folder(spark)}/{name}")
     (writer.partitionBy(by) if by else writer).saveAsTable(name)
     spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
     _written(spark).append(name)

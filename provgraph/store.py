@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,6 +59,14 @@ class SnapshotStore:
         os.replace(ready, self._pointer())
         return version
 
+    def prune(self) -> None:
+        """Delete the folders that the current snapshot doesn't use: readers of older ones lose them."""
+        used = {os.path.basename(f) for f in self.tables().values()}
+        for name in os.listdir(self.root):
+            path = os.path.join(self.root, name)
+            if os.path.isdir(path) and name not in used:
+                shutil.rmtree(path)
+
     def version(self) -> int:
         if not os.path.exists(self._pointer()):
             return 0
