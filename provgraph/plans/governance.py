@@ -19,6 +19,7 @@ from provgraph.plans.graph import _best, _bundle, _clean_rows
 from provgraph.plans.preparation import typed
 from provgraph.runtime import load, shared_folder
 from provgraph.sources import csv_bundle
+from provgraph.streaming import upserts
 from provgraph.store import SnapshotStore, audit_history, states_of, update_values
 
 
@@ -260,12 +261,40 @@ def a9_ingested_twice(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def i_streamed_upserts(spark: SparkSession, d: str) -> DataFrame:
+    """The two runs of d7_upsert_keeps_verification as files of a stream, upserted batch by batch."""
+    source, line, c = _folder(spark, "stream"), load(spark, d, "lineitem"), F.col
+    run = F.when(c("l_returnflag") == "N", 1).otherwise(0)
+    rows = line.select(
+        F.lit("SUPPLIES").alias("link_type"), c("l_suppkey").cast("string").alias("from_id"), (c("l_partkey") % 25).cast("string").alias("to_id"),
+        F.round(F.lit(0.4) + c("l_discount"), 3).cast("decimal(4,3)").alias("confidence"),
+        F.concat(F.lit("run-"), run.cast("string")).alias("source_record_id"), F.when(run == 0, "anna").alias("verified_by"), run.alias("run"),
+    )
+    store = SnapshotStore(spark, _folder(spark, "store").removeprefix("file:"))
+    for r in (0, 1):
+        rows.where(F.col("run") == r).drop("run").write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.drop("run").schema).parquet(source)
+        upserts.upsert_links(stream, store, f"{source}-offsets").awaitTermination()
+    return store.read("links").select("from_id", "to_id", "confidence", "source_record_id", "verified_by")
+
+
+def i_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Least confidence of links per week and type, from a stream of the links table."""
+    links = load(spark, d, "links").select("link_type", "confidence", "created_at")
+    source, out, offsets = (_folder(spark, name) for name in ("stream", "windows", "offsets"))
+    links.write.parquet(source)
+    stream = spark.readStream.schema(links.schema).parquet(source)
+    counted = upserts.confidence_by_window(stream, "created_at", "7 days", "3650 days")
+    counted.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).outputMode("complete").option("checkpointLocation", offsets).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         l_planted_links, l_planted_objects, l11_planted_end_types, l12_audit_violations, l14_schema_violations, l16_proposal_violations,
         l16_pending_twice, l17_run_violations, l19_source_keys, l11_all_references, l18_unaddressed_audits, l18_declared_types, b21_value_breaks,
         b15_pending_approvals, b2_property_rows_of_one, c2_audit_history, d7_upsert_keeps_verification, k11_updated_values, k10_states,
-        h3_countries, h13_canonical_results, m1_registry, a6_csv_round_trip, a9_ingested_twice,
+        h3_countries, h13_canonical_results, m1_registry, a6_csv_round_trip, a9_ingested_twice, i_streamed_upserts, i_windows,
     )
 }

@@ -114,6 +114,9 @@ ORACLE_SQL: dict[str, str] = {
  SELECT src AS source_id, dst AS target_id, '{{"profile":"SUPPLIER_DEVICE_RISK","target":"' || dst || '","confidence":' || c || ',"path_count":' || n || ',"best_path":{{"from":"' || src || '","weakest_step_index":' ||
   CASE WHEN c1 = c THEN 0 ELSE 1 END || ',"steps":[{{"link_type":"SUPPLIES","direction":"ALONG","confidence":' || c1 || ',"to":"' || mid || '"}},{{"link_type":"COMPOSED_OF","direction":"AGAINST","confidence":' || c2 || ',"to":"' || dst || '"}}]}}}}' AS result
  FROM ranked WHERE rn = 1""",
+    "i_streamed_upserts": """WITH s AS (SELECT CAST(l_suppkey AS VARCHAR) AS from_id, CAST(l_partkey % 25 AS VARCHAR) AS to_id, CAST(round(0.4 + l_discount, 3) AS DECIMAL(4,3)) AS confidence, CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END AS run FROM lineitem)
+ SELECT from_id, to_id, min(confidence) AS confidence, 'run-' || max(run) AS source_record_id, CASE WHEN min(run) = 0 THEN 'anna' END AS verified_by FROM s GROUP BY 1, 2""",
+    "i_windows": """SELECT time_bucket(INTERVAL 7 DAYS, created_at, TIMESTAMPTZ '1970-01-01 00:00:00+00') AS start, link_type, count(*) AS n_links, min(confidence) AS least_confidence FROM links WHERE created_at IS NOT NULL GROUP BY 1, 2""",
     "a6_csv_round_trip": "SELECT {}, true AS numbered FROM vendor_master".format(", ".join(f"coalesce({c}, '') AS {c}" for c in ("LIFNR", "NAME1", "LAND1", "TIER", "DUNS", "QUALITY_RATING", "CERTIFICATIONS"))),
     "a9_ingested_twice": f"""WITH {_CHECKED}, o AS (SELECT 'v' AS t, {_S('LIFNR')} AS k, arg_min(struct_pack(d := nullif({_S('DUNS')}, '') IS NOT NULL, n := 5,
    c := len(list_filter(string_split(coalesce(CERTIFICATIONS, ''), '|'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g')) <> ''))), line_no) AS r FROM v WHERE code IS NULL GROUP BY 2

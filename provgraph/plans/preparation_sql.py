@@ -74,6 +74,19 @@ _P4 = " UNION ALL ".join(
 )
 
 
+def _first_prefix(n: int) -> str:
+    """The first k for which the row doesn't begin with k sound fields; n + 1 if there is none."""
+    cases = [f"WHEN NOT regexp_matches(coalesce(raw_line, ''), '(?s)^{','.join([_FIELD] * k)}(?:,|$)') THEN {k}" for k in range(1, n + 1)]
+    return f"CASE {' '.join(cases)} ELSE {n + 1} END"
+
+
+_FIRST_BROKEN = f"""WITH p4 AS ({_P4}),
+ broken AS (SELECT 'vendor_master' AS src_table, line_no, {_first_prefix(7)} AS k FROM vendor_raw UNION ALL SELECT 'material_master', line_no, {_first_prefix(5)} FROM material_raw),
+ places AS (SELECT p4.src_table, reason, CAST(CASE WHEN reason IN ('quoting', 'column_count') THEN k ELSE min(CASE reason WHEN 'invalid_matnr' THEN 1 WHEN 'invalid_class' THEN 3
+  WHEN 'invalid_unit_cost' THEN 5 WHEN 'invalid_quality_rating' THEN 6 END) OVER (PARTITION BY p4.src_table, p4.line_no) END AS INT) AS broken_field FROM p4 JOIN broken USING (src_table, line_no))
+ SELECT src_table, reason, broken_field, count(*) AS n_rows FROM places GROUP BY 1, 2, 3"""
+
+
 def _loaded(raw: str, master: str, columns: str) -> str:
     bad = f"SELECT line_no FROM ({_P4}) WHERE src_table = '{master}'"
     return f"SELECT line_no, {columns} FROM {master} WHERE line_no NOT IN ({bad})"
@@ -133,6 +146,7 @@ ORACLE_SQL: dict[str, str] = {
     "p3_found": f"WITH {_FAILING} SELECT src_table, ref_field, row_key, status, period FROM failing WHERE status IS NOT NULL",
     "p3_by_month": f"WITH {_FAILING} SELECT src_table, ref_field, status, period, count(*) AS n_failing FROM failing WHERE status IS NOT NULL GROUP BY ALL",
     "p4_found": _P4,
+    "p4_first_broken_field": _FIRST_BROKEN,
     "p4_loaded_vendors": _loaded("vendor_raw", "vendor_master", "LIFNR, NAME1, LAND1, TIER, DUNS, QUALITY_RATING, CERTIFICATIONS"),
     "p4_loaded_materials": _loaded("material_raw", "material_master", "MATNR, MAKTX, CLASS, CRITICALITY, UNIT_COST"),
     "p7_found": f"WITH {TYPED} SELECT prop_row_id FROM typed WHERE state = 'unreadable'",

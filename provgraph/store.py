@@ -10,6 +10,7 @@ import json
 import os
 import shutil
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,15 +32,21 @@ class SnapshotStore:
     def _pointer(self) -> str:
         return os.path.join(self.root, "CURRENT")
 
-    def tables(self) -> dict[str, str]:
-        """Table name -> folder of the current snapshot; empty before the first commit."""
+    def _state(self) -> dict:
         if not os.path.exists(self._pointer()):
-            return {}
+            return {"version": 0, "tables": {}, "buckets": {}}
         with open(self._pointer(), encoding="utf-8") as f:
-            return json.load(f)["tables"]
+            return {"buckets": {}} | json.load(f)
+
+    def tables(self) -> dict[str, str]:
+        """Table name -> folder of the current snapshot; empty before the first commit. A table in buckets
+        (see `upsert`) stands with the folder of its first write."""
+        return self._state()["tables"]
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.tables()[name])
+        state = self._state()
+        folders = sorted(f for b, f in state["buckets"].get(name, {}).items() if b != "n") or [state["tables"][name]]
+        return self.spark.read.parquet(*folders)
 
     def commit(self, frames: dict[str, DataFrame], checks: list[DataFrame] = ()) -> int:
         """Write `frames`, keep the other tables, and publish; the new version number. `checks` are
@@ -47,31 +54,63 @@ class SnapshotStore:
         broken = [c for c in checks if not c.isEmpty()]
         if broken:
             raise ConstraintError(f"{len(broken)} rules are broken, for instance by {broken[0].head()}")
-        version = self.version() + 1
-        tables = self.tables()
+        state = self._state()
+        version, tables, buckets = state["version"] + 1, state["tables"], state["buckets"]
         for name, df in frames.items():
-            folder = os.path.join(self.root, f"{name}-{version}-{uuid.uuid4().hex[:8]}")
+            folder = self._new_folder(name, version)
             df.write.parquet(folder)
             tables[name] = folder
+            buckets.pop(name, None)
+        return self._publish(version, tables, buckets)
+
+    def _new_folder(self, name: str, version: int) -> str:
+        return os.path.join(self.root, f"{name}-{version}-{uuid.uuid4().hex[:8]}")
+
+    def _publish(self, version: int, tables: dict, buckets: dict) -> int:
         ready = f"{self._pointer()}.{uuid.uuid4().hex}"
         with open(ready, "w", encoding="utf-8") as f:
-            json.dump({"version": version, "tables": tables}, f, sort_keys=True)
+            json.dump({"version": version, "tables": tables, "buckets": buckets}, f, sort_keys=True)
         os.replace(ready, self._pointer())
         return version
 
+    def upsert(self, name: str, new: DataFrame, keys: list[str], merge: Callable[[DataFrame, DataFrame], DataFrame], n_buckets: int = 64) -> int:
+        """Merge `new` into a table that is kept in buckets of its keys: only the buckets in which `new` has
+        rows are read and written again (the first upsert of a plain table writes all of it into
+        buckets). `merge` takes the old and the new rows of those buckets and gives the rows to keep.
+        `n_buckets` holds for a table's first upsert."""
+        state = self._state()
+        version, tables, buckets = state["version"] + 1, state["tables"], state["buckets"]
+        mine = buckets.get(name)
+        n = mine["n"] if mine else n_buckets
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
+        if mine:
+            # At most as many numbers as there are buckets.
+            touched = {str(r[0]) for r in new.select(bucket).distinct().collect()}
+            folders = [f for b, f in mine.items() if b in touched]
+            old = self.spark.read.parquet(*folders) if folders else new.where(F.lit(False))
+        else:
+            old = self.read(name) if name in tables else new.where(F.lit(False))
+        folder = self._new_folder(name, version)
+        merge(old, new).withColumn("_bucket", bucket).repartition("_bucket").write.partitionBy("_bucket").parquet(folder)
+        written = {d.removeprefix("_bucket="): os.path.join(folder, d) for d in os.listdir(folder) if d.startswith("_bucket=")}
+        if not written:
+            return state["version"]
+        buckets[name] = {**(mine or {}), "n": n, **written}
+        tables[name] = tables.get(name, folder)
+        return self._publish(version, tables, buckets)
+
     def prune(self) -> None:
         """Delete the folders that the current snapshot doesn't use: readers of older ones lose them."""
-        used = {os.path.basename(f) for f in self.tables().values()}
+        state = self._state()
+        inner = [f for folders in state["buckets"].values() for b, f in folders.items() if b != "n"]
+        used = {os.path.basename(f) for n, f in state["tables"].items() if n not in state["buckets"]} | {os.path.basename(os.path.dirname(f)) for f in inner}
         for name in os.listdir(self.root):
             path = os.path.join(self.root, name)
             if os.path.isdir(path) and name not in used:
                 shutil.rmtree(path)
 
     def version(self) -> int:
-        if not os.path.exists(self._pointer()):
-            return 0
-        with open(self._pointer(), encoding="utf-8") as f:
-            return json.load(f)["version"]
+        return self._state()["version"]
 
     def empty(self, names: list[str]) -> int:
         """A snapshot in which these tables have no rows (their schemas stay)."""

@@ -10,16 +10,18 @@ from provgraph.operators.tracked import least_upsert
 from provgraph.store import SnapshotStore
 
 
+LINK_KEY = ["link_type", "from_id", "to_id"]
+
+
 def upsert_links(stream: DataFrame, store: SnapshotStore, checkpoint: str, table: str = "links") -> StreamingQuery:
     """Start a query that upserts each micro-batch into `table`: the least confidence of all
-    arrivals, the newest evidence. `stream` has link_type, from_id, to_id, confidence and evidence
-    columns, not `seq`; the batch number orders arrivals. The upsert is idempotent, so a batch that
-    is repeated after a failure changes nothing."""
+    arrivals, the newest provenance, identity and verification of the oldest. `stream` has link_type,
+    from_id, to_id, confidence and evidence columns, not `seq`; the batch number orders arrivals.
+    The table is kept in buckets of the key: a batch reads and writes the buckets it touches. The
+    upsert is idempotent, so a batch that is repeated after a failure changes nothing."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = batch.withColumn("seq", F.lit(number).cast("long"))
-        old = store.read(table) if table in store.tables() else new.where(F.lit(False))
-        store.commit({table: least_upsert(old, new)})
+        store.upsert(table, batch.withColumn("seq", F.lit(number).cast("long")), LINK_KEY, least_upsert)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

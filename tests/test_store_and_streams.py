@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from provgraph.operators import constraints
+from provgraph.operators.tracked import least_upsert
 from provgraph.store import ConstraintError, SnapshotStore, audit_history, ingestion_run, update_values
 from provgraph.streaming.upserts import confidence_by_window, upsert_links
 from tests.conftest import day, rows
@@ -35,6 +36,26 @@ def test_streamed_upserts(spark, tmp_path):
     assert rows(store.read("links").select("confidence", "run")) == [(Decimal("0.600"), "two")]
 
 
+def test_upserts_write_the_buckets_they_touch(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "s"))
+    link = lambda *pairs: spark.createDataFrame([("S", f"a{i}", "b", Decimal(c), "r", 0) for i, c in pairs], LINK + ", seq long")
+    keys = ["link_type", "from_id", "to_id"]
+    store.commit({"links": link((0, "0.9"))})  # a plain table is taken over
+    store.upsert("links", link(*((i, "0.9") for i in range(1, 40))), keys, least_upsert, 8)
+    before = store._state()["buckets"]["links"]
+    store.upsert("links", link((3, "0.5")), keys, least_upsert)
+    after = store._state()["buckets"]["links"]
+    assert sum(before[b] != after[b] for b in before) == 1 and len(before) == 9
+    assert store.read("links").count() == 40 and store.read("links").where("confidence = 0.5").count() == 1
+    store.upsert("links", link(), keys, least_upsert)
+    store.prune()
+    assert store.read("links").count() == 40
+    store.commit({"links": link((1, "1"))})  # and becomes a plain one again
+    assert store.read("links").count() == 1
+    store.prune()
+    assert store.read("links").count() == 1
+
+
 def test_windows(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.createDataFrame([("S", Decimal("0.5"), day(0)), ("S", Decimal("0.3"), day(0)), ("S", Decimal("0.9"), day(5))], "link_type string, confidence decimal(4,3), at timestamp").write.parquet(source)
