@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provgraph.functions.skew import hot_keys, salted_join
 from provgraph.model import OBJECT_TYPES, VALUE_TYPES, Property
 from provgraph.operators.property_table import json_kind
 
@@ -165,9 +166,10 @@ def insert_absent(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFra
 
 def resolve_sources(source_keys: DataFrame, objects: DataFrame) -> DataFrame:
     """source_system, source_key and the object it stands for now: the survivor of a merged object,
-    one hop."""
+    one hop. Objects with very many keys are salted."""
     ids = objects.select(F.col("id").alias("object_id"), "merged_into_id")
-    return source_keys.join(ids, "object_id").select("source_system", "source_key", F.coalesce("merged_into_id", "object_id").alias("object_id"))
+    keys = source_keys.withColumn("_s", F.xxhash64("source_system", "source_key"))
+    return salted_join(keys, ids, ["object_id"], "_s", hot_keys(keys, ["object_id"])).select("source_system", "source_key", F.coalesce("merged_into_id", "object_id").alias("object_id"))
 
 
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ node or cross a link again; only the terminal must differ from the source.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -57,15 +58,15 @@ class TableGraph:
 
 
 class TypedGraph:
-    """A graph in tables of its own for each type: `edges` (link type -> source, target, confidence) and
-    `nodes` (object type -> node, prefix of the ids). Nodes are known by whole-number keys, which shuffle
+    """A graph in tables of its own for each type: `edges` (link type -> a function that gives source, target,
+    confidence) and `nodes` (object type -> node, prefix of the ids). Nodes are known by whole-number keys, which shuffle
     and compare faster than ids; ids are made at the end, as prefix and key."""
 
-    def __init__(self, edges: dict[str, DataFrame], nodes: dict[str, tuple[DataFrame, str]]):
+    def __init__(self, edges: dict[str, Callable[[], DataFrame]], nodes: dict[str, tuple[DataFrame, str]]):
         self._edges, self._nodes = edges, nodes
 
     def edges(self, link_type: str) -> DataFrame:
-        return self._edges[link_type]
+        return self._edges[link_type]()
 
     def nodes(self, object_type: str, terminal: bool) -> DataFrame:
         return self._nodes[object_type][0]
@@ -99,7 +100,8 @@ def graph_paths(graph: Graph, profile: Profile, source_id: str | None = None) ->
 
     Every node must be there, the terminal one of the profile's type. With `source_id` only its
     paths: the filter reaches the scan of the first step, and the edges of later steps are reduced
-    to the nodes reached (broadcast if few) before anything else is done with them.
+    to the nodes reached (broadcast if few) before anything else is done with them. Paths through
+    hot nodes are many however they are joined; adaptive execution splits both sides of such joins.
     """
     check_profile(profile)
     types = node_types(profile)

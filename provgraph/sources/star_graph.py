@@ -64,7 +64,7 @@ def star_graph(spark: SparkSession, d: str) -> TypedGraph:
     """The same graph with a table for each type and whole-number keys."""
     line, orders, col = load(spark, d, "lineitem"), load(spark, d, "orders"), F.col
     errors = load(spark, d, "events").where("event_type = 'error'")
-    n_sup, n_part = (load(spark, d, t).count() for t in ("supplier", "part"))
+    size = lambda t: load(spark, d, t).count()
 
     def edges(rows: DataFrame, a: Column, b: Column, confidence: Column) -> DataFrame:
         return rows.select(a.cast("long").alias("source"), b.cast("long").alias("target"), confidence.alias("confidence"))
@@ -79,11 +79,11 @@ def star_graph(spark: SparkSession, d: str) -> TypedGraph:
     frames["QUALITY_EVENT"] = (errors.select(hit.cast("long").alias("node")), "QE-")
     return TypedGraph(
         {
-            "SUPPLIES": edges(pairs("l_suppkey"), col("l_suppkey"), col("l_partkey"), _confidence(500, 500, col("l_suppkey"), 31, col("l_partkey"), 17)),
-            "COMPOSED_OF": edges(pairs("l_orderkey"), col("l_orderkey"), col("l_partkey"), _confidence(600, 401, col("l_orderkey"), 13, col("l_partkey"), 7)),
-            "MANUFACTURED_AT": edges(sites, col("o_orderkey"), col("c_nationkey"), _confidence(700, 301, col("o_orderkey"), 11, col("c_nationkey"), 5)),
-            "AFFECTS_SUPPLIER": edges(errors, hit, user % n_sup, _confidence(400, 601, hit, 7, user, 3)),
-            "AFFECTS_PART": edges(errors, hit, hit % n_part, _confidence(400, 601, hit, 7, user, 3)),
+            "SUPPLIES": lambda: edges(pairs("l_suppkey"), col("l_suppkey"), col("l_partkey"), _confidence(500, 500, col("l_suppkey"), 31, col("l_partkey"), 17)),
+            "COMPOSED_OF": lambda: edges(pairs("l_orderkey"), col("l_orderkey"), col("l_partkey"), _confidence(600, 401, col("l_orderkey"), 13, col("l_partkey"), 7)),
+            "MANUFACTURED_AT": lambda: edges(sites, col("o_orderkey"), col("c_nationkey"), _confidence(700, 301, col("o_orderkey"), 11, col("c_nationkey"), 5)),
+            "AFFECTS_SUPPLIER": lambda: edges(errors, hit, user % size("supplier"), _confidence(400, 601, hit, 7, user, 3)),
+            "AFFECTS_PART": lambda: edges(errors, hit, hit % size("part"), _confidence(400, 601, hit, 7, user, 3)),
         },
         frames,
     )
