@@ -26,6 +26,9 @@ PARTITION_ITEMS = 20_000
 #: Containers filled at least so far stay closed when their partition has a gap.
 WELL_FILLED = 0.995
 
+#: Budgets of one call at most: they become an array beside each size.
+MAX_BUDGETS = 1_000
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-tokenisation pattern of the byte-level BPE vocabularies.
 BYTE_BPE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -147,7 +150,9 @@ def pack(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
     """
     ship(sizes.sparkSession)
     # The budgets are settings, a handful of rows; an array of them is exploded beside each size.
-    settings = budgets.where("capacity_tokens > 0").select("budget_id", F.col("capacity_tokens").cast("int").alias("capacity")).collect()
+    settings = budgets.where("capacity_tokens > 0").select("budget_id", F.col("capacity_tokens").cast("int").alias("capacity")).limit(MAX_BUDGETS + 1).collect()
+    if len(settings) > MAX_BUDGETS:
+        raise ValueError(f"more than {MAX_BUDGETS} budgets; pack them in several calls")
     if not settings:
         settings_of_item = F.array().cast("array<struct<budget_id:int,capacity:int>>")
     else:
