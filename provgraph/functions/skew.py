@@ -29,7 +29,8 @@ def _blocks(n: Column, rows: int) -> Column:
 def _materialised(hot: DataFrame) -> DataFrame | None:
     """`hot` computed once, with a broadcast hint if it is small; None if it has no rows. At most
     _DRIVER_KEYS + 1 rows reach the driver."""
-    rows = hot.limit(_DRIVER_KEYS + 1).collect()
+    # Ordered, as a plain limit looks for rows in job after job while there are none.
+    rows = hot.orderBy(*hot.columns).limit(_DRIVER_KEYS + 1).collect()
     if not rows:
         return None
     if len(rows) <= _DRIVER_KEYS:
