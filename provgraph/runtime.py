@@ -61,6 +61,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder as a table and read from there. Like `cut`, but computed once and
+    by one job, where a checkpoint counts the rows before it writes them: for loops of small steps.
+    See `release`."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bucketed(df: DataFrame, key: str, buckets: int, by: str | None = None) -> DataFrame:
     """`df` written to the shared folder as a table in `buckets` buckets of `key`, sorted by it, and
     partitioned by `by`: joins of such tables on the key need neither exchange nor sort, and a filter
