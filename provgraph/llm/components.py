@@ -4,9 +4,9 @@ Each round every component selects its smallest outgoing edge. Edges are ordered
 larger end), so a component's smallest edge leads to its smallest neighbour, and the only cycles
 are pairs that select each other; there the smaller end becomes the root. Trees collapse by pointer
 doubling, edges are relabelled by root and deduplicated, until none remain. The number of components
-with edges at least halves per round. All state is distributed and checkpointed; hubs are handled by
+with edges at least halves per round. All state is distributed and stored after each step; hubs are handled by
 map-side combined minima and salted joins. Frames of fewer rows than a hot key has (skew.HOT_ROWS) hold
-no hot key, so they aren't probed, and some of their checkpoints are left out: this saves jobs on small
+no hot key, so they aren't probed, and some of their stored tables are left out: this saves jobs on small
 inputs and changes no result.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from provgraph.functions import skew
 from provgraph.functions.skew import hot_keys, salted_join
-from provgraph.runtime import cut
+from provgraph.runtime import stored
 
 
 def _hot(df: DataFrame, keys: list[str], n_rows: int) -> DataFrame | None:
@@ -37,15 +37,15 @@ def _hook(edges: DataFrame, n_edges: int) -> DataFrame:
     parent = both.groupBy("a").agg(F.min("b").alias("p"))
     mutual = F.when(F.col("pp") == F.col("a"), F.least("a", "p")).otherwise(F.col("pp"))
     n_ends = 2 * n_edges  # at least the number of pointers
-    pointers = cut(_follow(parent, parent, n_ends).select("a", mutual.alias("p")))
+    pointers = stored(_follow(parent, parent, n_ends).select("a", mutual.alias("p")))
     while True:
         # Two doublings per round trip; where the second moves nothing all pointers are at roots.
         twice = _follow(pointers, pointers, n_ends).select("a", F.col("pp").alias("p"))
         if n_ends >= skew.HOT_ROWS:
-            twice = cut(twice)
-        step = cut(_follow(twice, twice, n_ends).select("a", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")))
+            twice = stored(twice)
+        step = stored(_follow(twice, twice, n_ends).select("a", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")))
         pointers = step.select("a", "p")
-        if step.where("moved").isEmpty():
+        if not step.agg(F.max("moved")).head()[0]:
             return pointers
 
 
@@ -71,7 +71,7 @@ def components(edges: DataFrame) -> DataFrame:
     group_id is the smallest id of the group. Direction and repetition of edges don't matter; edges
     with a null end and edges from an id to itself tie nothing. No edges give an empty result.
     """
-    edges = cut(_ordered(edges.select("a", "b").where(F.col("a").isNotNull() & F.col("b").isNotNull())))
+    edges = stored(_ordered(edges.select("a", "b").where(F.col("a").isNotNull() & F.col("b").isNotNull())))
     label: DataFrame | None = None
     n_edges = n_first = edges.count()
     while n_edges:
@@ -81,8 +81,8 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             label = _follow(label, roots, 2 * n_first).select("a", F.coalesce("pp", "p").alias("p"))
             if n_first >= skew.HOT_ROWS:
-                label = cut(label)
-        edges = cut(_relabel(edges, roots, n_edges))
+                label = stored(label)
+        edges = stored(_relabel(edges, roots, n_edges))
         n_edges = edges.count()
     if label is None:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("group_id"))
