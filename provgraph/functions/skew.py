@@ -2,7 +2,9 @@
 
 Every key is split by its own number of rows, so no task gets more than a fixed number of a key's
 rows: there is no limit on how many keys are split. The table of the split keys is broadcast only
-where it is known to be small, else it is joined by shuffle.
+where it is known to be small, else it is joined by shuffle. Where a frame may have as many rows as the input, its
+join is hinted (`by_shuffle`): behind Python steps and exploded lists Spark's estimates, which a checkpoint keeps, are
+far too small, and a broadcast chosen by them passes through the driver.
 """
 
 from __future__ import annotations
@@ -36,7 +38,12 @@ def _materialised(hot: DataFrame) -> DataFrame | None:
     if len(rows) <= _DRIVER_KEYS:
         return F.broadcast(hot.sparkSession.createDataFrame(rows, hot.schema))
     hot = cut(hot)
-    return F.broadcast(hot) if hot.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else hot
+    return F.broadcast(hot) if hot.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else by_shuffle(hot)
+
+
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """`df` with the hint that its next join is not to be a broadcast, whatever size is estimated."""
+    return df.hint("merge")
 
 
 def hot_keys(df: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame | None:
@@ -59,19 +66,20 @@ def _range(n: Column) -> Column:
     return F.sequence(F.lit(0), n - 1)
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: str, hot: DataFrame | None, how: str = "inner", large: bool = False) -> DataFrame:
     """Equi-join of a skewed `left` with a `right` that has few rows per key.
 
     Rows of hot keys (see `hot_keys`) get a salt from the hash of `spread`; the few right rows of hot
     keys are repeated for each salt. Without hot keys it is a plain join. `how` is 'inner' or 'left'.
-    Null keys match nothing.
+    `large`: both sides may be as large as the input and are never broadcast. Null keys match nothing.
     """
+    last = by_shuffle if large else lambda df: df
     if hot is None:
-        return left.join(right, keys, how)
+        return left.join(last(right), keys, how)
     one = F.coalesce("_splits", F.lit(1))
     lhs = left.join(hot, keys, "left").withColumn("_salt", _block_of(spread, one))
     rhs = right.join(hot, keys, "left").withColumn("_salt", F.explode(_range(one)))
-    return lhs.drop("_splits").join(rhs.drop("_splits"), [*keys, "_salt"], how).drop("_salt")
+    return lhs.drop("_splits").join(last(rhs.drop("_splits")), [*keys, "_salt"], how).drop("_salt")
 
 
 def grid_join(left: DataFrame, right: DataFrame, keys: list[str], spread_left: str, spread_right: str) -> DataFrame:
@@ -105,10 +113,10 @@ def pairs_within(df: DataFrame, keys: list[str], spread: str, condition: Column)
     ordered = F.col(f"{spread}_a") < F.col(f"{spread}_b")
     if hot is None:
         lhs, rhs = (df.select(*keys, *sides[s]) for s in ("_a", "_b"))
-        return lhs.join(rhs, keys).where(ordered & condition)
+        return lhs.join(by_shuffle(rhs), keys).where(ordered & condition)
     one = F.coalesce("_splits", F.lit(1))
     placed = df.join(hot, keys, "left").withColumn("_block", _block_of(spread, one)).withColumn("_splits", one)
     lhs = placed.withColumn("_j", F.explode(F.sequence(F.col("_block"), F.col("_splits") - 1))).select(*keys, F.col("_block").alias("_i"), "_j", *sides["_a"])
     rhs = placed.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_block")))).select(*keys, "_i", F.col("_block").alias("_j"), *sides["_b"])
     once = ordered | (F.col("_i") != F.col("_j"))
-    return lhs.join(rhs, [*keys, "_i", "_j"]).where(once & condition).drop("_i", "_j")
+    return lhs.join(by_shuffle(rhs), [*keys, "_i", "_j"]).where(once & condition).drop("_i", "_j")

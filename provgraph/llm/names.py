@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provgraph.functions.skew import hot_keys, pairs_within, salted_join
+from provgraph.functions.skew import by_shuffle, hot_keys, pairs_within, salted_join
 from provgraph.functions.text import is_blank, number_key
 from provgraph.llm.components import components
 from provgraph.runtime import cut, ship
@@ -354,12 +354,12 @@ def learned_vocabulary(split: DataFrame, nicknames: dict[str, list[str]]) -> Voc
     whole = F.aggregate("ws", F.lit(0).cast("long"), lambda h, w: h.bitwiseXOR(F.xxhash64(w)))
     placed = distinct.where(F.size("ws") >= 3).withColumn("h", whole)
     placed = placed.select(F.inline(F.transform("ws", lambda w: F.struct(w.alias("word"), F.col("h").bitwiseXOR(F.xxhash64(w)).alias("rest"))))).distinct()
-    # Only a few words can stand in the place of one rest and be common, so the right side is small.
+    # Only a few words can stand in the place of one rest and be common.
     places = placed.join(F.broadcast(common.select(F.col("word").alias("for_word"))), F.col("word") == F.col("for_word")).select("rest", "for_word")
-    seen = salted_join(placed, places, ["rest"], "word", hot_keys(placed, ["rest"])).where("word <> for_word")
+    seen = salted_join(placed, places, ["rest"], "word", hot_keys(placed, ["rest"]), large=True).where("word <> for_word")
     seen = seen.groupBy("word", "for_word").agg(F.count(F.lit(1)).alias("n"))
     best = seen.groupBy("word").agg(F.sum("n").alias("total"), F.max(F.struct("n", "for_word")).alias("b")).select("word", "total", "b.*")
-    best = best.where((F.col("n") >= max(ALIAS_SEEN, COMMON_SHARE / 100 * n)) & (F.col("n") >= ALIAS_SHARE * F.col("total"))).join(counts, "word")
+    best = best.where((F.col("n") >= max(ALIAS_SEEN, COMMON_SHARE / 100 * n)) & (F.col("n") >= ALIAS_SHARE * F.col("total"))).join(by_shuffle(counts), "word")
     aliases = {r.word: r.for_word for r in best.collect() if r.df < words[r.for_word][0]}
     # What stands for a short form stands for what that stands for.
     for word in aliases:
@@ -397,7 +397,7 @@ def name_links(names: DataFrame, nicknames: dict[str, list[str]] = NICKNAMES) ->
     records = parsed.dropDuplicates(["sig"]).drop("name").withColumn("rid", F.xxhash64("sig"))
     postings = records.select("rid", "sig", F.inline("grams"))
     counts = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    weighted = salted_join(postings, counts, ["gram"], "sig", hot_keys(counts, ["gram"], "df"))
+    weighted = salted_join(postings, counts, ["gram"], "sig", hot_keys(counts, ["gram"], "df"), large=True)
     n = records.count()
     # Rarest grams first, one order for all records; a token weighs as its grams are rare.
     per_token = weighted.groupBy("sig", "token").agg(
@@ -407,7 +407,7 @@ def name_links(names: DataFrame, nicknames: dict[str, list[str]] = NICKNAMES) ->
         F.transform(F.sort_array(F.collect_list(F.struct("token", "weight"))), lambda x: x["weight"]).alias("weights"),
         F.transform(F.sort_array(F.flatten(F.collect_list("g"))), lambda x: x["g"]).alias("set"),
     )
-    full = cut(records.drop("grams", "line").join(ordered, "sig"))
+    full = cut(records.drop("grams", "line").join(by_shuffle(ordered), "sig"))
     # Only numbers go through the join: gram, record and size of the set.
     size = F.size("set")
     prefix = (size - F.ceil(F.lit(CANDIDATE) * size) + 1).cast("int")
@@ -424,7 +424,7 @@ def name_links(names: DataFrame, nicknames: dict[str, list[str]] = NICKNAMES) ->
     other = full.select(*(F.col(c).alias(f"{c}_b") for c in full.columns))
     shared_grams = F.size(F.array_intersect("set", "set_b"))
     alike = shared_grams >= F.lit(CANDIDATE) * (F.size("set") + F.size("set_b") - shared_grams)
-    found = pairs.join(full, "rid").join(other, "rid_b").where(alike).drop("set", "set_b", "rid", "rid_b")
+    found = pairs.join(by_shuffle(full), "rid").join(by_shuffle(other), "rid_b").where(alike).drop("set", "set_b", "rid", "rid_b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ("given", "typed", "tokens", "shorts", "weights")
@@ -451,7 +451,7 @@ def same_entities(vendors: DataFrame, number: str, name: str) -> DataFrame:
     )
     records, links = name_links(rows.select("name").distinct())
     links = cut(links)
-    records = cut(records.join(rows, "name").select("num", "sig").distinct())
+    records = cut(records.join(by_shuffle(rows), "name").select("num", "sig").distinct())
     node = records.select(F.concat(F.lit("n:"), "num").alias("a"), F.concat(F.lit("s:"), "sig").alias("b"))
     sure = links.where("sure").select(F.concat(F.lit("s:"), "a").alias("a"), F.concat(F.lit("s:"), "b").alias("b"))
     groups = cut(components(node.unionByName(sure)))
@@ -459,12 +459,12 @@ def same_entities(vendors: DataFrame, number: str, name: str) -> DataFrame:
     sides = [doubtful.where(f"{x}_short").select(F.concat(F.lit("s:"), x).alias("x"), F.concat(F.lit("s:"), y).alias("y")) for x, y in ("ab", "ba")]
     maybe = sides[0].unionByName(sides[1])
     for end in ("x", "y"):
-        maybe = maybe.join(groups.select(F.col("id").alias(end), F.col("group_id").alias(f"g{end}")), end)
+        maybe = maybe.join(by_shuffle(groups.select(F.col("id").alias(end), F.col("group_id").alias(f"g{end}"))), end)
     # A group with a short given name joins the one group it is like; if there are several, none.
     only = maybe.where("gx <> gy").groupBy("gx").agg(F.min("gy").alias("a"), F.max("gy").alias("b")).where("a = b")
     extra = only.select("a", F.col("gx").alias("b"))
     merged = components(extra).select(F.col("id").alias("group_id"), F.col("group_id").alias("merged"))
-    groups = groups.join(merged, "group_id", "left").select("id", F.coalesce("merged", "group_id").alias("group_id"))
+    groups = groups.join(by_shuffle(merged), "group_id", "left").select("id", F.coalesce("merged", "group_id").alias("group_id"))
     numbers = cut(groups.where(F.col("id").startswith("n:")).select(F.substr("id", F.lit(3)).alias("num"), "group_id"))
     pairs = pairs_within(numbers.distinct(), ["group_id"], "num", F.lit(True))
     return pairs.select(F.least("num_a", "num_b").alias("lifnr_a"), F.greatest("num_a", "num_b").alias("lifnr_b"))
