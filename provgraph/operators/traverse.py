@@ -50,6 +50,10 @@ class TableGraph:
         """(node) of a type; on the way to the end any object will do."""
         return (self.objects.where(F.col("object_type") == object_type) if terminal else self.objects).select(F.col("id").alias("node"))
 
+    def n_ends(self, object_type: str, link_type: str, end: str) -> int:
+        """About how many nodes are at an end (source or target) of a link type."""
+        return self.edges(link_type).agg(F.approx_count_distinct(end)).head()[0]
+
     def key(self, object_type: str, object_id: str) -> object:
         return object_id
 
@@ -71,6 +75,9 @@ class TypedGraph:
     def nodes(self, object_type: str, terminal: bool) -> DataFrame:
         return self._nodes[object_type][0]
 
+    def n_ends(self, object_type: str, link_type: str, end: str) -> int:
+        return self._nodes[object_type][0].count()
+
     def key(self, object_type: str, object_id: str) -> object:
         """The key in an id of this type, or None if it can't be one."""
         prefix = self._nodes[object_type][1]
@@ -82,6 +89,8 @@ class TypedGraph:
 
 
 Graph = TableGraph | TypedGraph
+#: Up to this number of results a task combines, the last step is combined in as few tasks as there are cores.
+COMBINED = 10_000_000
 #: Nodes reached from one source are broadcast to the next step's edges up to this number.
 REACHED = 100_000
 
@@ -262,20 +271,31 @@ def shared_prefix(best: DataFrame, profile: Profile) -> DataFrame:
 
 def bottleneck_of_graph(graph: Graph, profile: Profile) -> DataFrame:
     """(source_id, target_id, confidence, path_count) without materialising paths: between steps
-    equal (source, node) rows are combined (max of min, counts summed), which the semiring of
-    weakest links allows. For long profiles; edges are taken as they are, without node checks."""
-    out: DataFrame | None = None
+    equal (first, node) rows are combined (max of min, counts summed), which the semiring of
+    weakest links allows. It begins at the end of the path with fewer nodes, as what is carried from
+    step to step has at most a row for each of them and each node reached. Each task of the last step sends on up to
+    all results; where a task can hold them, one task for each core combines all it gets before it does. For long
+    profiles; edges are taken as they are, without node checks."""
     types = node_types(profile)
-    for step in profile.steps:
-        start, end = ("source", "target") if step.direction == "ALONG" else ("target", "source")
-        edges = graph.edges(step.link_type).select(F.col(start).alias("node"), F.col(end).alias("next"), F.col("confidence").alias("c"))
+    steps = [(s.link_type, *(("source", "target") if s.direction == "ALONG" else ("target", "source"))) for s in profile.steps]
+    (first, start, _), (last, _, end) = steps[0], steps[-1]
+    n_first, n_last = graph.n_ends(types[0], first, start), graph.n_ends(types[-1], last, end)
+    backward = n_last < n_first
+    out: DataFrame | None = None
+    for k, (link_type, start, end) in enumerate([(t, b, a) for t, a, b in reversed(steps)] if backward else steps, 1):
+        edges = graph.edges(link_type).select(F.col(start).alias("node"), F.col(end).alias("next"), F.col("confidence").alias("c"))
         if out is None:
-            stepped = edges.select(F.col("node").alias("source_id"), F.col("next").alias("node"), "c", F.lit(1).cast("long").alias("n"))
-        else:
-            stepped = out.join(edges, "node").select("source_id", F.col("next").alias("node"), F.least("confidence", "c").alias("c"), F.col("path_count").alias("n"))
-        out = stepped.groupBy("source_id", "node").agg(F.max("c").alias("confidence"), F.sum("n").alias("path_count"))
-    out = out.where("source_id <> node") if types[0] == types[-1] else out
-    return out.select(graph.name(types[0], F.col("source_id")).alias("source_id"), graph.name(types[-1], F.col("node")).alias("target_id"), "confidence", "path_count")
+            out = edges.select(F.col("node").alias("first"), F.col("next").alias("node"), F.col("c").alias("confidence"), F.lit(1).cast("long").alias("path_count"))
+            continue
+        stepped = out.join(edges, "node").select("first", F.col("next").alias("node"), F.least("confidence", "c").alias("c"), F.col("path_count").alias("n"))
+        if k == len(steps) and n_first * n_last <= COMBINED:
+            stepped = stepped.coalesce(edges.sparkSession.sparkContext.defaultParallelism)
+        out = stepped.groupBy("first", "node").agg(F.max("c").alias("confidence"), F.sum("n").alias("path_count"))
+    if len(steps) == 1:
+        out = out.groupBy("first", "node").agg(F.max("confidence").alias("confidence"), F.sum("path_count").alias("path_count"))
+    out = out.where("first <> node") if types[0] == types[-1] else out
+    source, target = ("node", "first") if backward else ("first", "node")
+    return out.select(graph.name(types[0], F.col(source)).alias("source_id"), graph.name(types[-1], F.col(target)).alias("target_id"), "confidence", "path_count")
 
 
 def bottleneck_scores(links: DataFrame, profile: Profile) -> DataFrame:

@@ -69,8 +69,11 @@ def star_graph(spark: SparkSession, d: str) -> TypedGraph:
     def edges(rows: DataFrame, a: Column, b: Column, confidence: Column) -> DataFrame:
         return rows.select(a.cast("long").alias("source"), b.cast("long").alias("target"), confidence.alias("confidence"))
 
-    pairs = lambda a: line.select(a, "l_partkey").distinct()
-    sites = orders.join(load(spark, d, "customer"), col("o_custkey") == col("c_custkey")).select("o_orderkey", "c_nationkey").distinct()
+    pairs = lambda rows, a: rows.select(a, "l_partkey").distinct()
+    # An order has few lines: spread by order, they need no further exchange where edges meet at devices.
+    by_order = lambda: line.withColumn("l_orderkey", col("l_orderkey").cast("long")).select("l_orderkey", "l_partkey").repartition("l_orderkey")
+    sites = orders.join(load(spark, d, "customer"), col("o_custkey") == col("c_custkey")).select(col("o_orderkey").cast("long").alias("o_orderkey"), "c_nationkey")
+    sites = sites.repartition("o_orderkey").distinct()
     hit, user = col("event_id"), col("user_id")
     nodes = {
         "SUPPLIER": ("supplier", "s_suppkey", "SUP-"), "PART": ("part", "p_partkey", "PART-"), "DEVICE": ("orders", "o_orderkey", "DEV-"), "SITE": ("nation", "n_nationkey", "SITE-"),
@@ -79,8 +82,8 @@ def star_graph(spark: SparkSession, d: str) -> TypedGraph:
     frames["QUALITY_EVENT"] = (errors.select(hit.cast("long").alias("node")), "QE-")
     return TypedGraph(
         {
-            "SUPPLIES": lambda: edges(pairs("l_suppkey"), col("l_suppkey"), col("l_partkey"), _confidence(500, 500, col("l_suppkey"), 31, col("l_partkey"), 17)),
-            "COMPOSED_OF": lambda: edges(pairs("l_orderkey"), col("l_orderkey"), col("l_partkey"), _confidence(600, 401, col("l_orderkey"), 13, col("l_partkey"), 7)),
+            "SUPPLIES": lambda: edges(pairs(line, "l_suppkey"), col("l_suppkey"), col("l_partkey"), _confidence(500, 500, col("l_suppkey"), 31, col("l_partkey"), 17)),
+            "COMPOSED_OF": lambda: edges(pairs(by_order(), "l_orderkey"), col("l_orderkey"), col("l_partkey"), _confidence(600, 401, col("l_orderkey"), 13, col("l_partkey"), 7)),
             "MANUFACTURED_AT": lambda: edges(sites, col("o_orderkey"), col("c_nationkey"), _confidence(700, 301, col("o_orderkey"), 11, col("c_nationkey"), 5)),
             "AFFECTS_SUPPLIER": lambda: edges(errors, hit, user % size("supplier"), _confidence(400, 601, hit, 7, user, 3)),
             "AFFECTS_PART": lambda: edges(errors, hit, hit % size("part"), _confidence(400, 601, hit, 7, user, 3)),
