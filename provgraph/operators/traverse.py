@@ -103,6 +103,21 @@ def node_types(profile: Profile) -> list[str]:
     return out
 
 
+def step_edges(graph: Graph, profile: Profile, k: int) -> DataFrame:
+    """The edges of the k-th step in its direction: n{k-1}, n{k}, c{k} and, where the graph has link ids, l{k}."""
+    step = profile.steps[k - 1]
+    start, end = ("source", "target") if step.direction == "ALONG" else ("target", "source")
+    edges = graph.edges(step.link_type)
+    columns = {start: f"n{k - 1}", end: f"n{k}", "confidence": f"c{k}", "link_id": f"l{k}"}
+    return edges.select(*(F.col(c).alias(n) for c, n in columns.items() if c in edges.columns))
+
+
+def to_known(edges: DataFrame, graph: Graph, profile: Profile, k: int) -> DataFrame:
+    """The edges of the k-th step whose end is there and, if it is the terminal, of the profile's type."""
+    known = graph.nodes(node_types(profile)[k], k == len(profile.steps)).select(F.col("node").alias(f"n{k}"))
+    return edges.join(known, f"n{k}", "left_semi")
+
+
 def graph_paths(graph: Graph, profile: Profile, source_id: str | None = None) -> DataFrame:
     """All paths of `profile`: n0..nk (nodes as the graph knows them), c1..ck (confidences) and, where the
     graph has link ids, l1..lk.
@@ -115,11 +130,8 @@ def graph_paths(graph: Graph, profile: Profile, source_id: str | None = None) ->
     check_profile(profile)
     types = node_types(profile)
     out: DataFrame | None = None
-    for k, step in enumerate(profile.steps, 1):
-        start, end = ("source", "target") if step.direction == "ALONG" else ("target", "source")
-        edges = graph.edges(step.link_type)
-        columns = {start: f"n{k - 1}", end: f"n{k}", "confidence": f"c{k}", "link_id": f"l{k}"}
-        edges = edges.select(*(F.col(c).alias(n) for c, n in columns.items() if c in edges.columns))
+    for k in _numbers(profile):
+        edges = step_edges(graph, profile, k)
         if source_id is not None:
             if out is None:
                 edges = edges.where(F.col("n0") == F.lit(graph.key(types[0], source_id)))
@@ -127,8 +139,7 @@ def graph_paths(graph: Graph, profile: Profile, source_id: str | None = None) ->
                 reached = broadcast_if_small(out.select(f"n{k - 1}").distinct(), REACHED)
                 edges = edges.join(reached, f"n{k - 1}", "left_semi")
         # Ends are checked on the edges, of which there are far fewer than paths.
-        known = graph.nodes(types[k], k == len(profile.steps)).select(F.col("node").alias(f"n{k}"))
-        edges = edges.join(known, f"n{k}", "left_semi")
+        edges = to_known(edges, graph, profile, k)
         out = edges if out is None else out.join(edges, f"n{k - 1}")
     end = f"n{len(profile.steps)}"
     return out.where(F.col(end) != F.col("n0")) if types[0] == types[-1] else out
@@ -179,7 +190,7 @@ def target_scores(found: DataFrame, profile: Profile) -> DataFrame:
     )
 
 
-def _path_order(profile: Profile, graph: Graph | None) -> list[Column]:
+def path_order(profile: Profile, graph: Graph | None) -> list[Column]:
     """What decides between equally certain paths of one pair: the signature without the last step, which
     all paths of the pair have in common."""
     types = node_types(profile)
@@ -198,7 +209,7 @@ def best_paths(found: DataFrame, profile: Profile, graph: Graph | None = None) -
     k = len(profile.steps)
     scored = found.withColumn("confidence", path_confidence(profile))
     pair = Window.partitionBy("n0", f"n{k}")
-    order = [F.desc("confidence"), *(F.asc(c) for c in _path_order(profile, graph))]
+    order = [F.desc("confidence"), *(F.asc(c) for c in path_order(profile, graph))]
     ranked = scored.withColumn("_rn", F.row_number().over(pair.orderBy(*order))).withColumn("path_count", F.count(F.lit(1)).over(pair))
     best = ranked.where("_rn = 1").drop("_rn")
     return best.withColumns({"weakest_step": weakest_step(profile), "source_id": F.col("n0"), "target_id": F.col(f"n{k}")})

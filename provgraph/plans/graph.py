@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from provgraph import model
 from provgraph.functions.text import key
-from provgraph.operators import constraints, ingest, traverse, tracked
+from provgraph.operators import best_counts, constraints, ingest, traverse, tracked
 from provgraph.runtime import load
 from provgraph.sources.star_graph import star_graph, star_links, star_objects
 
@@ -91,10 +91,9 @@ def c1_event_device_impact(spark: SparkSession, d: str) -> DataFrame:
 
 
 def d3_weakest_step_histogram(spark: SparkSession, d: str) -> DataFrame:
-    p = model.SUPPLIER_DEVICE_RISK
-    found, graph = _found(spark, d, p)
-    return traverse.best_paths(found, p, graph).groupBy("weakest_step").agg(
-        F.count(F.lit(1)).alias("n_pairs"), F.sum("confidence").cast("decimal(20,3)").alias("sum_confidence")
+    found = best_counts.best_counts(star_graph(spark, d, by_part=True), model.SUPPLIER_DEVICE_RISK)
+    return found.groupBy("weakest_step").agg(
+        F.sum("n_pairs").alias("n_pairs"), F.sum(F.col("confidence") * F.col("n_pairs")).cast("decimal(20,3)").alias("sum_confidence")
     )
 
 

@@ -60,8 +60,9 @@ def star_links(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.concat_ws("|", "link_type", "from_id", "to_id").alias("id"), "*")
 
 
-def star_graph(spark: SparkSession, d: str) -> TypedGraph:
-    """The same graph with a table for each type and whole-number keys."""
+def star_graph(spark: SparkSession, d: str, by_part: bool = False) -> TypedGraph:
+    """The same graph with a table for each type and whole-number keys. `by_part`: supplier edges are spread by
+    part, so that they need no further exchange where all of them meet at parts."""
     line, orders, col = load(spark, d, "lineitem"), load(spark, d, "orders"), F.col
     errors = load(spark, d, "events").where("event_type = 'error'")
     size = lambda t: load(spark, d, t).count()
@@ -72,6 +73,7 @@ def star_graph(spark: SparkSession, d: str) -> TypedGraph:
     pairs = lambda rows, a: rows.select(a, "l_partkey").distinct()
     # An order has few lines: spread by order, they need no further exchange where edges meet at devices.
     by_order = lambda: line.withColumn("l_orderkey", col("l_orderkey").cast("long")).select("l_orderkey", "l_partkey").repartition("l_orderkey")
+    of_parts = lambda: line.withColumn("l_partkey", col("l_partkey").cast("long")).select("l_suppkey", "l_partkey").repartition("l_partkey") if by_part else line
     sites = orders.join(load(spark, d, "customer"), col("o_custkey") == col("c_custkey")).select(col("o_orderkey").cast("long").alias("o_orderkey"), "c_nationkey")
     sites = sites.repartition("o_orderkey").distinct()
     hit, user = col("event_id"), col("user_id")
@@ -82,7 +84,7 @@ def star_graph(spark: SparkSession, d: str) -> TypedGraph:
     frames["QUALITY_EVENT"] = (errors.select(hit.cast("long").alias("node")), "QE-")
     return TypedGraph(
         {
-            "SUPPLIES": lambda: edges(pairs(line, "l_suppkey"), col("l_suppkey"), col("l_partkey"), _confidence(500, 500, col("l_suppkey"), 31, col("l_partkey"), 17)),
+            "SUPPLIES": lambda: edges(pairs(of_parts(), "l_suppkey"), col("l_suppkey"), col("l_partkey"), _confidence(500, 500, col("l_suppkey"), 31, col("l_partkey"), 17)),
             "COMPOSED_OF": lambda: edges(pairs(by_order(), "l_orderkey"), col("l_orderkey"), col("l_partkey"), _confidence(600, 401, col("l_orderkey"), 13, col("l_partkey"), 7)),
             "MANUFACTURED_AT": lambda: edges(sites, col("o_orderkey"), col("c_nationkey"), _confidence(700, 301, col("o_orderkey"), 11, col("c_nationkey"), 5)),
             "AFFECTS_SUPPLIER": lambda: edges(errors, hit, user % size("supplier"), _confidence(400, 601, hit, 7, user, 3)),
